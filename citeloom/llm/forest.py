@@ -1,6 +1,7 @@
 """The k most similar vectors of every vector with a hash-prefix forest.
 
-Every tree gives each vector one long hash string (signs of random projections around the mean).
+Every tree gives each vector one long hash string: signs of projections around the mean, on random directions
+drawn with the collection's covariance, which part near neighbours less often.
 The strings are sorted: one range-partitioned, sorted array per tree. Within a stretch of the array the
 operator descends to the longest prefix that still holds enough vectors; a prefix with too few
 ascends to its neighbours in the array. All vectors under a prefix are compared as one block, in
@@ -104,7 +105,29 @@ def neighbours(ids: np.ndarray, V: np.ndarray, h: np.ndarray, k: int, most: int)
     return out, cos
 
 
-def similar_vectors(df: DataFrame, key: str = "vec_id", col: str = "embedding", dim: int = 64, k: int = 5, trees: int = 6, block: int = 3000, seed: int = 7) -> DataFrame:
+def moments(nodes: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and covariance of all vectors at unit length; each task sums its own rows first."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two = 0, np.zeros(dim), np.zeros((dim, dim))
+        for b in batches:
+            V = _matrix(b.column(0), dim).astype(np.float64)
+            V /= np.sqrt((V * V).sum(1))[:, None]
+            n, one, two = n + len(V), one + V.sum(0), two + V.T @ V
+        if n:
+            flat = np.concatenate([[n], one, two.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
+
+    rows = nodes.select("v").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # 1 + dim + dim^2 numbers
+    flat = np.zeros(1 + dim + dim * dim)
+    for r in rows:
+        flat[r["i"]] = r["x"]
+    n = max(1.0, flat[0])
+    mean = flat[1 : 1 + dim] / n
+    return int(flat[0]), mean, flat[1 + dim :].reshape(dim, dim) / n - np.outer(mean, mean)
+
+
+def similar_vectors(df: DataFrame, key: str = "vec_id", col: str = "embedding", dim: int = 64, k: int = 5, trees: int | None = None, block: int = 4000, seed: int = 7) -> DataFrame:
     """(id, near, cosine): for every usable vector its k most similar others; equal cosines (12 decimals) by smaller id.
 
     Unusable vectors (null, wrong length, non-finite, all zero) neither ask nor answer. Scale plays no part.
@@ -112,12 +135,13 @@ def similar_vectors(df: DataFrame, key: str = "vec_id", col: str = "embedding",
     """
     nodes, members = copy_groups(usable(df, key, col, dim), k)
     nodes = cut(nodes)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    row = nodes.withColumn("n", norm).agg(F.count("*").alias("rows"), F.array(*[F.avg(F.col("v")[i] / F.col("n")) for i in range(dim)]).alias("mean")).first()
-    count, mean = row["rows"], np.array([x or 0.0 for x in row["mean"]])
-    R = np.random.default_rng(seed).standard_normal((dim, trees * BITS)).astype(np.float32)
-    weights = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-    shift = (mean.astype(np.float32) @ R)
+    count, mean, cov = moments(nodes, dim)
+    if trees is None:
+        trees = 8 + 2 * max(0, math.ceil(math.log2(max(1.0, count / block))))
+    lam, axes = np.linalg.eigh(cov)
+    R = (axes @ (np.sqrt(np.maximum(lam, 1e-9))[:, None] * np.random.default_rng(seed).standard_normal((dim, trees * BITS)))).astype(np.float32)
+    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    shift = mean.astype(np.float32) @ R
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
