@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, forest, leaks, pieces
+from citeloom.llm import bpe, forest, leaks, link, pieces
 from citeloom.session import table
 
 
@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("id", "near").alias("vec_a"), F.greatest("id", "near").alias("vec_b")).distinct()
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    cases = table(spark, sf, "cases_enriched").select("case_id", "case_name").unionByName(table(spark, sf, "landmark_cases").select("case_id", "case_name"))
+    return link.link_names(table(spark, sf, "name_checks"), cases, "check_id", "cited_name", "case_id", "case_name")
+
+
 def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     cut = pieces.split_oversized(table(spark, sf, "cases_enriched"))
     return cut.select("row_id", "boundary", F.posexplode("pieces").alias("p", "piece")).select("row_id", "boundary", (F.col("p") + 1).alias("piece_no"), "piece")
@@ -38,7 +43,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found,
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found,
 }
 
 ORACLES: dict[str, str] = {}
