@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, forest, leaks, link, pieces
+from citeloom.llm import bpe, forest, leaks, link, pieces, toxic
 from citeloom.session import table
 
 
@@ -42,8 +42,24 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf, "documents"), table(spark, sf, "benchmark_items"))
 
 
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return toxic.toxic_scores(table(spark, sf, "documents"), table(spark, sf, "review_labels")).select("doc_id", "source", F.round("score", 6).alias("score"), "toxic")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return toxic.toxic_scores(table(spark, sf, "documents"), table(spark, sf, "review_labels")).filter("toxic").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, toxic documents and their rate per source."""
+    scored = toxic.toxic_scores(table(spark, sf, "documents"), table(spark, sf, "review_labels"))
+    flag = F.col("toxic").cast("long")
+    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(flag).alias("n_toxic"), F.avg(flag).alias("rate"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
 ORACLES: dict[str, str] = {}
