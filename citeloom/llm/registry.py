@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, forest, leaks, link, pieces, toxic
+from citeloom.llm import bpe, forest, leaks, link, pieces, scans, toxic
 from citeloom.session import table
 
 
@@ -34,6 +34,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf, "cases_enriched")).select("row_id", "boundary")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repairs(table(spark, sf, "cases_enriched"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents"))
 
@@ -58,7 +62,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found,
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 
