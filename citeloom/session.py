@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +52,30 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Remove the tables that cut() wrote, while the session that can reach their folder still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or not _WRITTEN:
+        return
+    try:
+        jvm = spark.sparkContext._jvm
+        for path in _WRITTEN:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so lineage stays short."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a compressed table in the shared folder and go on from there.
+
+    Lineage stays short, lost executors cost a read, and the planner knows the table's size. Tables go when the program ends.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
