@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import data_quality
+from citeloom.plans import data_quality, text_queries
 
-MODULES = [data_quality]
+MODULES = [data_quality, text_queries]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
