@@ -195,64 +195,71 @@ def candidates(t: str, most: int = 2) -> dict[str, float]:
     return done
 
 
-def _ngrams(texts: DataFrame) -> DataFrame:
-    """(k, n): counts of words and of word pairs 'a b' in texts that aren't scanned; '0' stands for numbers, '#' for all words."""
+_S = pa.list_(pa.string())
+_SPLIT = pa.schema([("id", pa.int64()), ("furniture", _S), ("broken", _S), ("lines", pa.list_(_S)), ("k", pa.string()), ("n", pa.int64())])
+_DIGITS = re.compile(r"\d[^\W_]*(?:[.\-:,'][^\W_]+)*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one: Counter[str] = Counter()
-        two: Counter[tuple[str, str]] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            one["#"] = sum(one.values())
-            keys = [*one, *(f"{a} {b}" for a, b in two)]
-            b = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([*one.values(), *two.values()], pa.int64())], names=["k", "n"])
-            one.clear()
-            two.clear()
-            return b
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t and not scanned(t):
-                    w = ["0" if x[0].isdigit() else x for x in _CLEAN.findall(t.lower().replace("’", "'"))]
-                    one.update(w)
-                    two.update(zip(w, w[1:]))
-            if len(two) > 1_500_000:
-                yield flush()
-        yield flush()
-
-    return texts.mapInArrow(run, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One reading of all texts: scanned ones as (id, furniture, broken, lines), the others as counts (k, n).
 
-def _pages(df: DataFrame) -> DataFrame:
-    """(id, furniture, broken, lines) of the scanned texts."""
+    k is a word, a pair 'a b', or '#' for all words; '0' stands for numbers. A task sums its counts before it gives them out.
+    """
+    one: Counter[str] = Counter()
+    two: Counter[tuple[str, str]] = Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, fs, bs, ls = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if scanned(t):
-                    f, br, li = page_items(t)
-                    ids.append(i)
-                    fs.append(f)
-                    bs.append(br)
-                    ls.append(li)
-            s = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fs, s), pa.array(bs, s), pa.array(ls, pa.list_(s))], names=["id", "furniture", "broken", "lines"])
+    def flush() -> pa.RecordBatch:
+        if one:
+            one["#"] = sum(one.values())
+        keys, n = [*one, *map(" ".join, two)], [*one.values(), *two.values()]
+        one.clear()
+        two.clear()
+        none = [None] * len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, none, keys, n), _SPLIT)], schema=_SPLIT)
 
-    return df.mapInArrow(run, "id bigint, furniture array<string>, broken array<string>, lines array<array<string>>")
+    for b in batches:
+        rows = []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if scanned(t):
+                rows.append((i, *page_items(t)))
+            else:
+                w = _CLEAN.findall(_DIGITS.sub("0", t.lower().replace("’", "'")))
+                one.update(w)
+                two.update(zip(w, w[1:]))
+        if rows:
+            none = [None] * len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*zip(*rows), none, none), _SPLIT)], schema=_SPLIT)
+        if len(two) > 1_500_000:
+            yield flush()
+    yield flush()
 
 
 def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct word types of each page's text: tokens and rejoined words in both forms."""
+    """Distinct word types of each page: tokens (and whether they are odd), and rejoined words in both forms."""
+    seen: dict[str, bool] = {}
     for b in batches:
-        ids, ts = [], []
+        ids, ts, strange, form = [], [], [], []
         for i, broken, lines in zip(*(c.to_pylist() for c in b.columns)):
-            types = {t for line in lines for t in line if t[0] != "\t" and not _NUMBER.fullmatch(t)}
-            for x in broken:
-                types.update(joined(x))
-            ids += [i] * len(types)
-            ts += types
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.string())], names=["id", "t"])
+            types = {t for line in lines for t in line}
+            for t in types:
+                if t[0] == "\t":
+                    continue
+                x = seen.get(t)
+                if x is None:
+                    x = seen[t] = odd(t)
+                if x or not t[0].isdigit():
+                    ids.append(i)
+                    ts.append(t)
+                    strange.append(x)
+                    form.append(False)
+            for t in {f for x in broken for f in joined(x)} - types:
+                ids.append(i)
+                ts.append(t)
+                strange.append(odd(t))
+                form.append(True)
+        if len(seen) > 300_000:
+            seen = {}
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.string()), pa.array(strange, pa.bool_()), pa.array(form, pa.bool_())], names=["id", "t", "strange", "form"])
 
 
 def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,54 +275,24 @@ def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Reader:
-    """What one page needs to know: counts of its types, their candidates, counts of pairs."""
-
-    def __init__(self, info: list[dict], pairs: dict[str, int], total: int):
-        self.n = {x["t"]: x["n"] or 0 for x in info}
-        self.options = {x["t"]: {c["c"]: (c["p"], c["n"]) for c in x["cs"] or ()} for x in info}
-        self.pairs, self.total = pairs, max(total, 1)
-        self.count = dict(self.n)
-        for o in self.options.values():
-            self.count.update({c: n for c, (_, n) in o.items()})
-
-    def readings(self, t: str) -> dict[str, float]:
-        """Readings of a token with the log-probability of the channel; itself among them."""
-        out: dict[str, float] = {}
-        strange = odd(t)
-        if not strange or not (self.options.get(t) or number_of(t)):
-            out[t] = 0.0
-        for c, (p, n) in self.options.get(t, {}).items():
-            if n >= LEAST:
-                out[c] = p
-        if (x := number_of(t)) is not None:
-            out[x] = math.log(0.5)
-        return out
-
-    def unigram(self, w: str) -> float:
-        if w[0].isdigit():  # a number among those of its length
-            return max(0.1 ** sum(c.isdigit() for c in w), 0.002) * max(self.count.get("0", 0), 0.02 * self.total) / self.total
-        n = self.count.get(w, 0)
-        return (n + 0.02) / self.total if n else 0.02 / self.total
-
-    def step(self, a: str, b: str) -> float:
-        x, y = ("0" if w[0].isdigit() else w for w in (a, b))
-        pair, first = self.pairs.get(f"{x} {y}", 0), self.count.get(x, 0)
-        share = max(0.1 ** sum(c.isdigit() for c in b), 0.002) if y == "0" else 1.0
-        return math.log(0.6 * share * pair / max(first, pair, 20) + 0.4 * self.unigram(b))
-
-    def decode(self, line: list[str]) -> list[str]:
-        """The likeliest reading of a line by Viterbi."""
-        options = [self.readings(t) for t in line]
-        if all(len(o) == 1 for o in options):
-            return [next(iter(o)) for o in options]
-        best: dict[str, tuple[float, list[str]]] = {w: (p + math.log(self.unigram(w)), [w]) for w, p in options[0].items()}
-        for o in options[1:]:
-            new = {}
-            for w, p in o.items():
-                s, path = max(((v + self.step(x, w), q) for x, (v, q) in best.items()), key=lambda y: y[0])
-                new[w] = (s + p, path + [w])
-            best = new
-        return max(best.values(), key=lambda y: y[0])[1]
+    """Readings of one page's tokens: of its odd and rare types, with the candidates that the corpus knows."""
+
+    def __init__(self, info: list[dict]):
+        self.n = {x["t"]: x["n"] for x in info}
+        self.options: dict[str, dict[str, tuple[float, int]]] = {x["t"]: {c["c"]: (c["p"], c["n"]) for c in x["cs"] or ()} for x in info}
+        self.kept: dict[str, list[tuple[str, float]]] = {}
+
+    def readings(self, t: str) -> list[tuple[str, float]]:
+        """Readings of a token with the log-probability of the channel; itself among them unless it holds what no word holds."""
+        got = self.kept.get(t)
+        if got is None:
+            out = {c: p for c, (p, _) in self.options.get(t, {}).items()}
+            if (x := number_of(t)) is not None:
+                out[x] = math.log(0.5)
+            if not out or not odd(t):
+                out[t] = 0.0
+            got = self.kept[t] = sorted(out.items())
+        return got
 
     def rejoin(self, item: str) -> str:
         """A broken word as it reads: with its hyphen where the corpus writes it so."""
@@ -323,40 +300,75 @@ class Reader:
         a, sign, b = item.split("\t")
         if sign == "-" and a[-1].isdigit() and b[0].isdigit():
             return hyphen
-        score = {}
+        score: dict[str, float] = {}
         for form, prior in ((plain, 1.0), (hyphen, 0.5)):
-            for w, p in {**{c: p for c, (p, n) in self.options.get(form, {}).items() if n >= LEAST}, form: 0.0}.items():
-                s = p + math.log(prior * (self.count.get(w, 0) + (0.01 if form == plain else 0.001)))
+            own = {form: (0.0, self.n.get(form, 0))}
+            for w, (p, n) in {**self.options.get(form, {}), **own}.items():
+                s = p + math.log(prior * (n + (0.01 if form == plain else 0.001)))
                 score[w] = max(score.get(w, -99.0), s)
         return max(score, key=lambda w: (score[w], w))
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word pairs (id, k) whose counts the lines with alternatives need."""
+def _class(w: str) -> str:
+    return "0" if w[0].isdigit() else w
+
+
+_DONE = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("repaired", pa.string()), ("u", pa.int64()), ("was", _S), ("words", pa.list_(_S)), ("logs", pa.list_(pa.list_(pa.float64()))), ("keys", _S)])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each page settles by itself as (id, kind, repaired); stretches of lines with alternatives as (u, was, words, logs, keys)."""
     for b in batches:
-        ids, ks = [], []
-        for i, lines, info in zip(*(c.to_pylist() for c in b.columns)):
-            r, keys = Reader(info or [], {}, 1), set()
+        out = []
+        for i, furn, broken, lines, info in zip(*(c.to_pylist() for c in b.columns)):
+            r, seq = Reader(info or []), 0
+            settled = {("furniture", f) for f in furn if f} | {("hyphen", r.rejoin(x)) for x in broken}
             for line in lines:
-                line = [r.rejoin(t[1:]) if t[0] == "\t" else t for t in line]
-                o = [r.readings(t) for t in line]
-                for x, y in zip(o, o[1:]):
-                    if len(x) > 1 or len(y) > 1:
-                        keys.update(f"{'0' if a[0].isdigit() else a} {'0' if c[0].isdigit() else c}" for a in x for c in y)
-            ids += [i] * len(keys)
-            ks += keys
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.string())], names=["id", "k"])
-
-
-def repair(reader: Reader, furniture_lines: list[str], broken: list[str], lines: list[list[str]]) -> set[tuple[str, str]]:
-    out = {("furniture", f) for f in furniture_lines if f}
-    out |= {("hyphen", reader.rejoin(x)) for x in broken}
-    for line in lines:
-        plain = [reader.rejoin(t[1:]) if t[0] == "\t" else t for t in line]
-        for was, t, now in zip(line, plain, reader.decode(plain)):
-            if t != now and was[0] != "\t":
-                out.add(("char", now))
-    return out
+                if not any(t in r.options or t[0] == "\t" for t in line):
+                    continue
+                plain = [r.rejoin(t[1:]) if t[0] == "\t" else t for t in line]
+                opts = [[(p, 0.0)] if t[0] == "\t" else r.readings(t) if t in r.options else [(t, 0.0)] for t, p in zip(line, plain)]
+                for t, p, o in zip(line, plain, opts):
+                    if len(o) == 1 and o[0][0] != p and t[0] != "\t":
+                        settled.add(("char", o[0][0]))
+                many = [len(o) > 1 for o in opts]
+                at = 0
+                while at < len(many):
+                    if not many[at]:
+                        at += 1
+                        continue
+                    end = at
+                    while end < len(many) and (many[end] or (end + 1 < len(many) and many[end + 1])):
+                        end += 1
+                    lo, hi = max(0, at - 1), min(len(many), end + 1)
+                    seg = opts[lo:hi]
+                    keys = {_class(w) for o in seg for w, _ in o}
+                    keys.update(f"{_class(x)} {_class(y)}" for o, q in zip(seg, seg[1:]) for x, _ in o for y, _ in q)
+                    out.append((i, None, None, (i << 20) + seq, plain[lo:hi], [[w for w, _ in o] for o in seg], [[p for _, p in o] for o in seg], list(keys)))
+                    seq, at = seq + 1, hi
+            out += [(i, kind, text, None, None, None, None, None) for kind, text in settled]
+        cols = list(zip(*out)) if out else [()] * len(_DONE)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _DONE)], schema=_DONE)
+
+
+def decode(words: list[list[str]], logs: list[list[float]], count: dict[str, int], total: int) -> list[str]:
+    """The likeliest reading of a stretch of a line by Viterbi over channel and bigram probabilities."""
+    share = lambda w: max(0.1 ** sum(c.isdigit() for c in w), 0.002) if w[0].isdigit() else 1.0  # noqa: E731  a number among those of its length
+    single = {w: share(w) * max(count.get(_class(w), 0), 0.02) / total for o in words for w in o}
+
+    def step(a: str, b: str) -> float:
+        x, y = _class(a), _class(b)
+        pair = count.get(f"{x} {y}", 0)
+        return math.log(0.6 * share(b) * pair / max(count.get(x, 0), pair, 20) + 0.4 * single[b])
+
+    best = {w: (p + math.log(single[w]), [w]) for w, p in zip(words[0], logs[0])}
+    for o, ps in zip(words[1:], logs[1:]):
+        new = {}
+        for w, p in zip(o, ps):
+            s, path = max(((v + step(x, w), q) for x, (v, q) in best.items()), key=lambda y: y[0])
+            new[w] = (s + p, path + [w])
+        best = new
+    return max(best.values(), key=lambda y: y[0])[1]
 
 
 def repairs(df: DataFrame, key: str = "row_id", text_col: str = "plain_text") -> DataFrame:
@@ -366,30 +378,32 @@ def repairs(df: DataFrame, key: str = "row_id", text_col: str = "plain_text") ->
     columns are ignored. A word without a known reading stays as it is.
     """
     texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).filter("id is not null and t is not null and t <> ''")
-    grams = cut(_ngrams(texts.select("t")))
-    pages = cut(_pages(texts))
-    held = cut(pages.select("id", "broken", "lines").mapInArrow(_types, "id bigint, t string").distinct())
-    types = held.select("t").distinct().join(grams.withColumnRenamed("k", "t"), "t", "left").select("t", F.coalesce("n", F.lit(0)).alias("n"))
-    types = cut(types)
+    both = cut(texts.mapInArrow(_split, "id bigint, furniture array<string>, broken array<string>, lines array<array<string>>, k string, n bigint"))
+    grams = cut(both.filter("k is not null").groupBy("k").agg(F.sum("n").alias("n")))
+    pages = both.filter("id is not null").drop("k", "n")
+    held = cut(pages.select("id", "broken", "lines").mapInArrow(_types, "id bigint, t string, strange boolean, form boolean"))
+    types = held.groupBy("t").agg(F.max("strange").alias("strange"), F.max("form").alias("form"))
+    types = cut(types.join(grams.withColumnRenamed("k", "t"), "t", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter((F.col("n") < RARE) | F.col("strange") | F.col("form")))
     offers = types.filter(F.col("n") < RARE).select("t").mapInArrow(_offer, "t string, c string, p double")
     counts = grams.filter((F.col("n") >= LEAST) & (F.instr("k", " ") == 0))
     known = offers.join(counts.withColumnRenamed("k", "c"), "c").groupBy("t").agg(F.collect_list(F.struct("c", "p", "n")).alias("cs"))
-    info = types.join(known, "t", "left")
-    per = held.join(info, "t").groupBy("id").agg(F.collect_list(F.struct("t", "n", "cs")).alias("info"))
-    full = cut(pages.join(per, "id", "left"))
-    wanted = full.select("id", "lines", "info").mapInArrow(_wanted, "id bigint, k string")
-    pairs = wanted.join(grams, "k").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("k", "n"))).alias("pairs"))
+    info = types.join(known, "t", "left").filter("cs is not null or strange or (form and n > 0)").select("t", "n", "cs")
+    per = held.select("id", "t").join(info, "t").groupBy("id").agg(F.collect_list(F.struct("t", "n", "cs")).alias("info"))
+    done = cut(pages.join(per, "id", "left").mapInArrow(_read, "id bigint, kind string, repaired string, u bigint, was array<string>, words array<array<string>>, logs array<array<double>>, keys array<string>"))
+    open_ = done.filter("u is not null")
+    asked = open_.select("u", F.explode("keys").alias("k")).join(grams, "k").groupBy("u").agg(F.collect_list(F.struct("k", "n")).alias("counts"))
     total = grams.filter("k = '#'").agg(F.sum("n")).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, kinds, texts = [], [], []
-            for i, f, broken, lines, info, pairs in zip(*(c.to_pylist() for c in b.columns)):
-                for kind, text in repair(Reader(info or [], dict(pairs or []), total), f, broken, lines):
-                    ids.append(i)
-                    kinds.append(kind)
-                    texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=[key, "kind", "repaired"])
-
-    done = full.join(pairs, "id", "left").select("id", "furniture", "broken", "lines", "info", "pairs")
-    return done.mapInArrow(run, f"`{key}` bigint, kind string, repaired string").distinct()
+            ids, texts = [], []
+            for i, was, words, logs, counts in zip(*(c.to_pylist() for c in b.columns)):
+                for old, now in zip(was, decode(words, logs, {x["k"]: x["n"] for x in counts or ()}, total)):
+                    if old != now:
+                        ids.append(i)
+                        texts.append(now)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["char"] * len(ids), pa.string()), pa.array(texts, pa.string())], names=[key, "kind", "repaired"])
+
+    chosen = open_.join(asked, "u", "left").select("id", "was", "words", "logs", "counts").mapInArrow(run, f"`{key}` bigint, kind string, repaired string")
+    settled = done.filter("u is null").select(F.col("id").alias(key), "kind", "repaired")
+    return settled.unionByName(chosen).distinct()
