@@ -108,7 +108,7 @@ def query_tokens(text: Column, stop: Sequence[str] = tuple(K.STOP_WORDS), keep:
 
 
 def landmark_tokens(text: Column) -> Column:
-    return F.filter(words(F.lower(text)), lambda t: F.length(t) > 1)
+    return F.filter(words(F.lower(text)), lambda t: t.rlike("(?s)^.."))
 
 
 def doctrines(text: Column) -> Column:

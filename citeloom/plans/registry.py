@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import data_quality, text_queries
+from citeloom.plans import data_quality, graph_queries, text_queries
 
-MODULES = [data_quality, text_queries]
+MODULES = [data_quality, text_queries, graph_queries]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
