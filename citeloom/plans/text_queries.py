@@ -264,7 +264,7 @@ ORACLES = {
       SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&[a-zA-Z]+;', ' ', 'g'), '&#[0-9]+;', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'), '^ | $', '', 'g') AS plain FROM h""",
     "tokenize_corpus": _sql_tokens(_CORPUS),
     "tokenize_query": _sql_tokens(_QUERY),
-    "tokenize_landmark": _sql_tokens(f"list_filter({_WORDS.format(c='lower(text)')}, lambda x: regexp_matches(x, '(?s)^..'))"),
+    "tokenize_landmark": _sql_tokens(f"list_filter({_WORDS.format(c="lower(replace(text, chr(304), 'i' || chr(775)))")}, lambda x: regexp_matches(x, '(?s)^..'))"),
     "classify_doctrines": f"WITH {V.CASES}, {DOCTRINES_SQL} SELECT case_id, doctrine_ids FROM doctrines",
     "doctrine_dim": f"""WITH {V.CASES}, {DOCTRINES_SQL}, e AS (SELECT case_id, unnest(string_split(doctrine_ids, ',')) AS id FROM doctrines)
       SELECT id, array_to_string(list_transform(string_split(id, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS name, count(*) AS n_cases FROM e GROUP BY id""",
