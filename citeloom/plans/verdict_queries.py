@@ -39,9 +39,24 @@ def resolve_index(spark, sf):
     return index(spark, sf)
 
 
-def _checked(spark, sf):
+def _checked(spark, sf, texts=None):
     n = V.nodes(spark, sf)
-    return D.check_citations(C.extract(TQ.docs(spark, sf), "doc_id", "text"), index(spark, sf), n, G.density(V.edges(spark, sf), n), THIS_YEAR)
+    texts = TQ.docs(spark, sf) if texts is None else texts
+    return D.check_citations(C.extract(texts, "doc_id", "text"), index(spark, sf), n, G.density(V.edges(spark, sf), n), THIS_YEAR)
+
+
+def _references(spark, sf):
+    """The citation lists of the case table itself, read as texts."""
+    return _checked(spark, sf, table(spark, sf, "cases_enriched").select(F.col("row_id").alias("doc_id"), F.col("citations").alias("text")))
+
+
+def check_references(spark, sf):
+    return _references(spark, sf).select(*_COLS)
+
+
+def reference_response(spark, sf):
+    """One row per list: its citations with verdict and signals as JSON."""
+    return _response(_references(spark, sf))
 
 
 _COLS = ["doc_id", "pos", "citation_string", "case_id", "case_name", "exists", "cited_year", "actual_year", "cited_court", "actual_court", "meta_checked", "meta_valid", "temporal_reason", "density", "is_connected", "verdict"]
@@ -55,7 +70,8 @@ def check_counts(spark, sf):
     return _checked(spark, sf).groupBy("doc_id").agg(F.count("*").alias("citation_count"), *[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("REAL", "SUSPICIOUS", "HALLUCINATED")])
 
 
-_CHECK = f"""WITH {GQ._EN}, d AS ({GQ._DENSITY}), {TQ._EXTRACT}, {_INDEX},
+def _check_sql(extract: str) -> str:
+    return f"""WITH {GQ._EN}, d AS ({GQ._DENSITY}), {extract}, {_INDEX},
 j AS (SELECT c.doc_id, c.pos, c.citation_string, i.case_id, i.case_name, n.id IS NOT NULL AS "exists", TRY_CAST(regexp_extract(c.citation_string, {TQ._q(C.YEAR)}, 1) AS INTEGER) AS cited_year, n.year AS actual_year,
   {TQ._COURT.replace('citation', 'c.citation_string')} AS cited_court, n.court_id AS actual_court, coalesce(n.landmark, false) AS landmark, coalesce(d.density, 0) AS density
   FROM cites c LEFT JOIN idx i USING (citation_string) LEFT JOIN nodes n ON n.id = i.case_id LEFT JOIN d ON d.id = i.case_id),
@@ -64,6 +80,10 @@ k AS (SELECT *, CASE WHEN meta_checked THEN coalesce(cited_year = actual_year, t
 v AS (SELECT *, CASE WHEN NOT "exists" THEN 'HALLUCINATED' WHEN meta_checked AND NOT meta_valid THEN 'HALLUCINATED' WHEN is_connected AND temporal_reason NOT IN ('future_citation', 'year_inversion') THEN 'REAL' ELSE 'SUSPICIOUS' END AS verdict FROM k)"""
 
 
+_CHECK = _check_sql(TQ._EXTRACT)
+_CHECK_REF = _check_sql(TQ._EXTRACT.replace("SELECT doc_id, unnest(regexp_extract_all(text", "SELECT row_id AS doc_id, unnest(regexp_extract_all(citations").replace("regexp_extract_all(text", "regexp_extract_all(citations").replace("FROM documents", "FROM cases_enriched"))
+
+
 def existence(spark, sf):
     nodes = GQ.graph_nodes(spark, sf).select(F.col("id").alias("case_id"), "name", "stub")
     v = table(spark, sf, "embeddings_chunked").select("vec_id", "case_id").join(nodes, "case_id", "left")
@@ -141,7 +161,10 @@ def scorer_breakdown(spark, sf):
 
 def response_struct(spark, sf):
     """One row per document: its citations with verdict and signals as JSON."""
-    c = _checked(spark, sf)
+    return _response(_checked(spark, sf))
+
+
+def _response(c):
     signals = F.struct("exists", F.when(F.col("meta_checked"), F.col("meta_valid")).alias("metadata_valid"), F.when(F.col("temporal_checked"), F.col("temporal_valid")).alias("temporal_valid"), "density", "is_connected")
     one = F.struct("pos", "citation_string", "verdict", "case_id", "case_name", signals.alias("signals"))
     d = c.groupBy("doc_id").agg(F.count("*").alias("citation_count"), F.to_json(F.array_sort(F.collect_list(one))).alias("citations"))
@@ -171,11 +194,12 @@ BENCH = f"""{RAW}, bench AS (SELECT *, CASE WHEN NOT "exists" THEN 'HALLUCINATED
   WHEN (rrf_score >= 0.01::DOUBLE OR dense_score >= 0.6::DOUBLE) AND density_score >= 1 THEN 'REAL' WHEN NOT (rrf_score >= 0.01::DOUBLE OR dense_score >= 0.6::DOUBLE) AND NOT coalesce(density_score >= 1, false) THEN 'HALLUCINATED' ELSE 'SUSPICIOUS' END AS pred FROM raw)"""
 _GATE = f"g AS (SELECT benchmark_id, TRY_CAST(regexp_extract(citation, {TQ._q(C.YEAR)}, 1) AS INTEGER) AS cy, {TQ._COURT} AS cc, n.year, n.court_id FROM benchmark_items b LEFT JOIN nodes n ON n.id = b.case_id)"
 
-_NAMES = "resolve_index check_documents check_counts existence metadata_gate temporal_gate name_gate token_sort_key verdict_online verdict_bench scorer_score scorer_breakdown response_struct graphable case_relevance".split()
+_NAMES = "check_references reference_response resolve_index check_documents check_counts existence metadata_gate temporal_gate name_gate token_sort_key verdict_online verdict_bench scorer_score scorer_breakdown response_struct graphable case_relevance".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLES = {
     "resolve_index": f"WITH {_INDEX} SELECT citation_string, case_id, case_name FROM idx",
     "check_documents": f"{_CHECK} SELECT {', '.join(chr(34) + c + chr(34) for c in _COLS)} FROM v",
+    "check_references": f"{_CHECK_REF} SELECT {', '.join(chr(34) + c + chr(34) for c in _COLS)} FROM v",
     "check_counts": f"{_CHECK} SELECT doc_id, count(*) AS citation_count, count_if(verdict = 'REAL') AS real, count_if(verdict = 'SUSPICIOUS') AS suspicious, count_if(verdict = 'HALLUCINATED') AS hallucinated FROM v GROUP BY doc_id",
     "existence": f"WITH {GQ._ALL} SELECT vec_id, case_id, n.id IS NOT NULL AS \"exists\", n.name FROM embeddings_chunked e LEFT JOIN all_nodes n ON n.id = e.case_id",
     "metadata_gate": f"""WITH {V.NODES}, {_GATE}, c AS (SELECT *, (year IS NOT NULL OR court_id IS NOT NULL) AND (cy IS NOT NULL OR cc IS NOT NULL) AS ch FROM g)
