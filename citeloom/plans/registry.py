@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import corpus_queries, data_quality, eval_queries, graph_queries, retrieval_queries, text_queries, verdict_queries
+from citeloom.plans import corpus_queries, data_quality, eval_queries, graph_queries, retrieval_queries, stream_queries, text_queries, verdict_queries
 
-MODULES = [data_quality, text_queries, graph_queries, retrieval_queries, verdict_queries, eval_queries, corpus_queries]
+MODULES = [data_quality, text_queries, graph_queries, retrieval_queries, verdict_queries, eval_queries, corpus_queries, stream_queries]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
