@@ -113,9 +113,12 @@ def landmark_tokens(text: Column) -> Column:
 
 def doctrines(text: Column) -> Column:
     """Ids of the doctrines whose phrases occur in the first 3,000 words, in table order."""
-    head = first_words(F.lower(text), 3000)
-    hits = [F.when(reduce(lambda a, b: a | b, [F.contains(head, F.lit(k)) for k in keys]), F.lit(name)) for name, keys in K.DOCTRINES.items()]
-    return F.array_compact(F.array(*hits))
+
+    def hits(head: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [F.contains(head, F.lit(k)) for k in keys]), F.lit(name)) for name, keys in K.DOCTRINES.items()]))
+
+    # Bound as a lambda's variable, the head is computed once instead of once for each phrase.
+    return F.get(F.transform(F.array(first_words(F.lower(text), 3000)), hits), F.lit(0))
 
 
 def display_name(name: Column) -> Column:

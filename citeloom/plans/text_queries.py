@@ -159,7 +159,7 @@ DOCTRINES_SQL = f"heads AS (SELECT case_id, {_HEAD} AS h FROM cases WHERE plain_
 
 
 def doctrine_edges(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.cases(spark, sf, "plain_text").select("case_id", F.explode(X.doctrines(F.col("plain_text"))).alias("doctrine"))
+    d = V.cases(spark, sf, "plain_text").filter("plain_text is not null").select("case_id", F.explode(X.doctrines(F.col("plain_text"))).alias("doctrine"))
     return d
 
 
