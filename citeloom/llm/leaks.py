@@ -1,6 +1,6 @@
 """Evaluation texts leaking into training text: BM25 with block-max WAND, then verification.
 
-Items are indexed by three-word terms: postings in item order, cut into blocks with the greatest
+Items are indexed by five-word terms: postings in item order, cut into blocks with the greatest
 weight of each. Every passage of every document is a query. An item's threshold is the least score a
 passage can have that holds a run of 30 of its words with three of them changed, so retrieval loses no
 case. What is retrieved is verified by alignment of the item's words with the document's.
@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TERM, RUN, STEP, WIDTH, BLOCK = 3, 30, 30, 66, 32
+TERM, RUN, STEP, WIDTH, BLOCK = 5, 30, 30, 66, 32
+#: Terms of a run that three edits spoil at most.
+SPOILT = 3 * TERM
 K1, B = 1.2, 0.75
 #: Distinct item texts of one broadcast index.
 ITEMS = 20_000
@@ -62,16 +64,18 @@ class Index:
         self.idf = {g: math.log(1 + (n - d + 0.5) / (d + 0.5)) for g, d in df.items()}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.threshold = []
+        self.fewest = RUN
         for i, gs in enumerate(lists):
             tf, norm = Counter(gs), K1 * (1 - B + B * len(gs) / mean)
             weight = {g: self.idf[g] * f * (K1 + 1) / (f + norm) for g, f in tf.items()}
             for g, x in weight.items():
                 postings[g].append((i, x))
-            # Three edits in a run spoil nine terms at most; what is left at least, over all runs.
+            # What three edits leave of a run's terms and weight at least, over all runs.
             least = math.inf
             for s in range(len(gs) - (RUN - TERM)):
                 run = sorted({g: weight[g] for g in gs[s : s + RUN - TERM + 1]}.values())
-                least = min(least, sum(run[: max(1, len(run) - 9)]))
+                left = max(1, len(run) - SPOILT)
+                least, self.fewest = min(least, sum(run[:left])), min(self.fewest, left)
             self.threshold.append(least * 0.999)
         self.postings = {g: ([i for i, _ in p], [x for _, x in p], [max(x for _, x in p[a : a + BLOCK]) for a in range(0, len(p), BLOCK)], max(x for _, x in p)) for g, p in postings.items()}
         self.floor = min(self.threshold, default=math.inf)
@@ -176,9 +180,11 @@ def leaked(w: list[str], index: Index) -> list[int]:
         k = at
         while k < len(hits) and hits[k] < e:
             k += 1
-        if k - at < 10:  # the weakest case still shares more terms than this
+        if k - at < index.fewest:
             continue
         query = {gs[i] for i in hits[at:k]}
+        if len(query) < index.fewest:
+            continue
         for item in index.retrieve(query):
             if item in out:
                 continue
