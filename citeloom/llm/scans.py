@@ -57,6 +57,11 @@ _HEADER = re.compile(rf"(?:[CG][il1!|][ft][ec]\s+[a@][s5]\s*:|[S5][l1I|!i][il1!|
 _HEADINGS = frozenset("background discussion conclusion facts analysis opinion order introduction jurisdiction judgment summary argument dissent concurrence procedural history standard of review i ii iii iv v vi vii viii ix x".split())
 
 
+_LOWER, _ALNUM, _WIDE = re.compile(r"[a-z]{3}"), re.compile(r"[^\W_]+"), re.compile(r"\S+\s{3,}|N[o0]\.\s", re.I)
+_RUN = re.compile(r"\d+")
+_DIGIT_FORMS = str.maketrans("O|!l", "0111")
+
+
 def lines_of(text: str) -> list[str]:
     return _LINES.split(text)
 
@@ -75,7 +80,7 @@ def scanned(text: str | None) -> bool:
 
 
 def _shape(s: str) -> str:
-    return re.sub(r"\d+", "0", s.translate(str.maketrans("O|!l", "0111")).lower())
+    return _RUN.sub("0", s.translate(_DIGIT_FORMS).lower())
 
 
 def furniture(lines: list[str]) -> set[int]:
@@ -85,27 +90,33 @@ def furniture(lines: list[str]) -> set[int]:
     if not solid:
         return set()
     wide = sorted(len(bare[i]) for i in solid)[int(len(solid) * 0.9)]
-    flows = lambda i: len(bare[i]) > 0.72 * wide and bool(re.search(r"[a-z]{3}", bare[i]))
-    pages = {i for i in solid if _PAGE.fullmatch(bare[i])}
+    most = 0.72 * wide
+    flows = [len(bare[i]) > most and bool(_LOWER.search(bare[i])) for i in solid]
+    short = [(n, i) for n, i in enumerate(solid) if not flows[n]]
+    pages = {i for _, i in short if _PAGE.fullmatch(bare[i])}
     out = set(pages)
-    shapes = Counter(_shape(bare[i]) for i in solid)
-    rank = {i: n for n, i in enumerate(solid)}
-    for i in solid:
+    shape = {i: _shape(bare[i]) for _, i in short}
+    shapes = Counter(shape.values())
+    for n, i in enumerate(solid):
         s = bare[i]
+        if flows[n]:  # running text, but for wide headers with a gap
+            if ("   " in s or s[:1] in "Nn") and _HEADER.match(s) and _WIDE.match(s):
+                out.add(i)
+            continue
         if i in out:
             continue
-        if _HEADER.match(s) and (not flows(i) or re.match(r"\S+\s{3,}|N[o0]\.\s", s, re.I)):
+        if _HEADER.match(s):
             out.add(i)
             continue
-        words = re.findall(r"[^\W_]+", s.lower())
-        letters = [c for c in s if c.isalpha()]
-        capitals = bool(letters) and sum(c.isupper() for c in letters) >= 0.8 * len(letters)
+        words = _ALNUM.findall(s.lower())
         if not words or set(words) <= _HEADINGS:
             continue
-        near = any(solid[n] in pages for n in range(max(0, rank[i] - 2), min(len(solid), rank[i] + 3)))
-        if capitals and len(letters) > 4 and (near and rank[i] > 0 or shapes[_shape(s)] > 1 or "\f" in lines[i]):
+        letters = [c for c in s if c.isalpha()]
+        capitals = bool(letters) and sum(c.isupper() for c in letters) >= 0.8 * len(letters)
+        near = any(solid[m] in pages for m in range(max(0, n - 2), min(len(solid), n + 3)))
+        if capitals and len(letters) > 4 and (near and n > 0 or shapes[shape[i]] > 1 or "\f" in lines[i]):
             out.add(i)
-        elif shapes[_shape(s)] > 1 and near and not flows(i) and not s.endswith((".", ",", ";")):
+        elif shapes[shape[i]] > 1 and near and not s.endswith((".", ",", ";")):
             out.add(i)
     return out
 
@@ -160,6 +171,8 @@ def number_of(t: str) -> str | None:
 
 def odd(t: str) -> bool:
     """Whether a token holds signs or digits that no word or number holds."""
+    if t.isascii() and t.isalpha():
+        return False
     if _WORD.fullmatch(t):
         return any(c in SIGNS for c in t)
     return not (_NUMBER.fullmatch(t) or _ORDINAL.fullmatch(t))
@@ -197,7 +210,6 @@ def candidates(t: str, most: int = 2) -> dict[str, float]:
 
 _S = pa.list_(pa.string())
 _SPLIT = pa.schema([("id", pa.int64()), ("furniture", _S), ("broken", _S), ("lines", pa.list_(_S)), ("k", pa.string()), ("n", pa.int64())])
-_DIGITS = re.compile(r"\d[^\W_]*(?:[.\-:,'][^\W_]+)*")
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +235,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if scanned(t):
                 rows.append((i, *page_items(t)))
             else:
-                w = _CLEAN.findall(_DIGITS.sub("0", t.lower().replace("’", "'")))
+                w = ["0" if x[0] in "0123456789" else x for x in _CLEAN.findall(t.lower().replace("’", "'"))]
                 one.update(w)
                 two.update(zip(w, w[1:]))
         if rows:
