@@ -19,5 +19,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
+def _counts_as_bigint(sql: str) -> str:
+    """count_if(...) gives a wider integer in the oracle's engine than count(*); both sides shall have the same type."""
+    out, at = [], 0
+    while (i := sql.find("count_if(", at)) >= 0:
+        depth, j = 1, i + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += [sql[at:i], "CAST(", sql[i:j], " AS BIGINT)"]
+        at = j
+    return "".join(out) + sql[at:]
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: _counts_as_bigint(sql) for m in MODULES for name, sql in m.ORACLES.items()}

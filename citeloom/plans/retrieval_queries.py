@@ -79,7 +79,7 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r
 
 def bm25_stats(spark, sf):
     b = R.Bm25(_tokens(spark, sf))
-    return b.terms.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.round(F.max("idf"), 6).alias("max_idf")).withColumns({"n_docs": F.lit(b.n), "avgdl": F.round(F.lit(b.avgdl), 6)})
+    return b.terms.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.round(F.max("idf"), 6).alias("max_idf")).withColumns({"n_docs": F.lit(b.n).cast("bigint"), "avgdl": F.round(F.lit(b.avgdl), 6)})
 
 
 def bm25_topk(spark, sf):
