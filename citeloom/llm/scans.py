@@ -398,9 +398,10 @@ def repairs(df: DataFrame, key: str = "row_id", text_col: str = "plain_text") ->
     types = cut(types.join(grams.withColumnRenamed("k", "t"), "t", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter((F.col("n") < RARE) | F.col("strange") | F.col("form")))
     offers = types.filter(F.col("n") < RARE).select("t").mapInArrow(_offer, "t string, c string, p double")
     counts = grams.filter((F.col("n") >= LEAST) & (F.instr("k", " ") == 0))
-    known = offers.join(counts.withColumnRenamed("k", "c"), "c").groupBy("t").agg(F.collect_list(F.struct("c", "p", "n")).alias("cs"))
+    # The planner takes a Python stage to be as small as its input; candidates are many times that and must not be broadcast.
+    known = offers.hint("merge").join(counts.withColumnRenamed("k", "c"), "c").groupBy("t").agg(F.collect_list(F.struct("c", "p", "n")).alias("cs"))
     info = types.join(known, "t", "left").filter("cs is not null or strange or (form and n > 0)").select("t", "n", "cs")
-    per = held.select("id", "t").join(info, "t").groupBy("id").agg(F.collect_list(F.struct("t", "n", "cs")).alias("info"))
+    per = held.select("id", "t").join(info.hint("merge"), "t").groupBy("id").agg(F.collect_list(F.struct("t", "n", "cs")).alias("info"))
     done = cut(pages.join(per, "id", "left").mapInArrow(_read, "id bigint, kind string, repaired string, u bigint, was array<string>, words array<array<string>>, logs array<array<double>>, keys array<string>"))
     open_ = done.filter("u is not null")
     asked = open_.select("u", F.explode("keys").alias("k")).join(grams, "k").groupBy("u").agg(F.collect_list(F.struct("k", "n")).alias("counts"))
