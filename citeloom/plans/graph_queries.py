@@ -106,9 +106,13 @@ _PAIRS = f"""{_EN}, fe AS (SELECT src, dst FROM edges WHERE dst IN (SELECT id FR
 pairs AS (SELECT DISTINCT lo AS a, hi AS b FROM (SELECT src, min(dst) AS lo, max(dst) AS hi FROM fe GROUP BY src) WHERE lo < hi)"""
 
 
+def _known_edges(spark, sf):
+    """Citations by full nodes."""
+    return V.edges(spark, sf).join(V.nodes(spark, sf).select(F.col("id").alias("src")), "src", "left_semi")
+
+
 def shortest_path(spark, sf):
-    near = _pairs(spark, sf)
-    return G.shortest_paths(V.edges(spark, sf).join(V.nodes(spark, sf).select(F.col("id").alias("src")), "src", "left_semi").filter("dst <> 84216"), near, 4)
+    return G.shortest_paths(_known_edges(spark, sf), _pairs(spark, sf))
 
 
 _SHORT = f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst <> 84216),
