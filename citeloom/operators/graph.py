@@ -145,6 +145,16 @@ def cited_together(cites: DataFrame, doc: str = "doc_id") -> DataFrame:
     return d.select(doc, F.col("case_id").alias("a")).join(d.select(doc, F.col("case_id").alias("b")), doc).filter("a < b")
 
 
+def list_pairs(rows: DataFrame, key: str, item: str, block: int = 64) -> DataFrame:
+    """(key, a, b), a < b: every pair of the distinct items of each key. Long lists are split by position into blocks, so no task gets all pairs of one."""
+    w = Window.partitionBy(key)
+    r = rows.select(key, item).distinct().withColumn("pos", F.row_number().over(w.orderBy(item)) - 1).withColumn("last", F.floor((F.count("*").over(w) - 1) / block).cast("int"))
+    r = r.withColumn("at", F.floor(F.col("pos") / block).cast("int"))
+    left = r.select(key, F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"), F.col(item).alias("a"))
+    right = r.select(key, F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.col(item).alias("b"))
+    return left.join(right, [key, "i", "j"]).filter("a < b").select(key, "a", "b")
+
+
 def subgraph_paths(edges: DataFrame, start: int, hops: int, limit: int = 100) -> DataFrame:
     """(n1, n2, n3): outbound paths of up to `hops` (1 or 2) from one node, the first `limit` in order."""
     one = edges.filter(F.col("src") == start).select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.lit(None).cast("long").alias("n3"))

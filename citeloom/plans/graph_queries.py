@@ -11,7 +11,7 @@ from citeloom.operators import graph as G
 from citeloom.operators import upsert as U
 from citeloom.plans import text_queries as TQ
 from citeloom.plans import views as V
-from citeloom.session import table
+from citeloom.session import cut, table
 
 _EN = f"{V.NODES}, {V.EDGES}"
 
@@ -94,12 +94,18 @@ def _pagerank_sql() -> str:
     return f"WITH {_ALL}, " + ", ".join(parts).replace("1.0 / n AS rank", "CAST(1 AS DOUBLE) / n AS rank") + f" SELECT id, round(rank, 10) AS rank FROM r{_ROUNDS}"
 
 
+def _cited_full(spark, sf):
+    return V.edges(spark, sf).join(V.nodes(spark, sf).select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
+def _case_pairs(spark, sf):
+    """(src, a, b), a < b: every pair of the full works that each case cites."""
+    return G.list_pairs(_cited_full(spark, sf), "src", "dst")
+
+
 def _pairs(spark, sf):
-    """Each case with the first work it cites that is a full node, and with the work's own first: pairs that lie near and far."""
-    full = V.nodes(spark, sf).select(F.col("id").alias("dst"))
-    e = V.edges(spark, sf).join(full, "dst", "left_semi")
-    first = e.groupBy("src").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi")).filter("lo < hi")
-    return first.select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    """The distinct pairs of full works that some case cites together."""
+    return _case_pairs(spark, sf).select("a", "b").distinct()
 
 
 _PAIRS = f"""{_EN}, fe AS (SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM nodes)),
@@ -112,7 +118,7 @@ def _known_edges(spark, sf):
 
 
 def shortest_path(spark, sf):
-    return G.shortest_paths(_known_edges(spark, sf), _pairs(spark, sf))
+    return G.shortest_paths(_known_edges(spark, sf), cut(_pairs(spark, sf)))
 
 
 _SHORT = f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst <> 84216),
@@ -153,24 +159,28 @@ def bidir_explorer(spark, sf):
 
 
 def jaccard_pairs(spark, sf):
-    return G.jaccard(V.edges(spark, sf), _pairs(spark, sf)).select("a", "b", "common", F.round("jaccard", 9).alias("jaccard"))
+    return G.jaccard(V.edges(spark, sf), cut(_pairs(spark, sf))).select("a", "b", "common", F.round("jaccard", 9).alias("jaccard"))
 
 
 def shared_doctrines(spark, sf):
-    return G.shared_labels(TQ.doctrine_edges(spark, sf), _pairs(spark, sf))
+    return G.shared_labels(TQ.doctrine_edges(spark, sf), cut(_pairs(spark, sf)))
 
 
 _SHARED = f"""{TQ.DOCTRINES_SQL}, de AS (SELECT case_id, unnest(string_split(doctrine_ids, ',')) AS d FROM doctrines)"""
 
 
 def cross_citation(spark, sf):
-    """Signals of the first and last full work that each case cites: overlap and shared doctrines, averaged per case."""
-    full = V.nodes(spark, sf).select(F.col("id").alias("dst"))
-    own = V.edges(spark, sf).join(full, "dst", "left_semi").groupBy("src").agg(F.min("dst").alias("a"), F.max("dst").alias("b"), F.count("*").alias("n_cited"))
-    pairs = own.filter("a < b").select("a", "b").distinct()
+    """Signals of all pairs of full works that each case cites: mean overlap, least hops, mean shared doctrines and the pairs' number."""
+    own = _cited_full(spark, sf).groupBy("src").agg(F.count("*").alias("n_cited"))
+    cited = cut(_case_pairs(spark, sf))
+    pairs = cut(cited.select("a", "b").distinct())
     sig = G.jaccard(V.edges(spark, sf), pairs).join(G.shared_labels(TQ.doctrine_edges(spark, sf), pairs), ["a", "b"])
-    j = own.join(sig, ["a", "b"], "left")
-    return j.select("src", "n_cited", F.round(F.coalesce("jaccard", F.lit(0.0)), 9).alias("avg_jaccard"), F.coalesce("shared", F.lit(0)).alias("avg_shared"))
+    sig = sig.join(G.shortest_paths(_known_edges(spark, sf), pairs), ["a", "b"])
+    per = cited.join(sig, ["a", "b"]).groupBy("src").agg(F.avg("jaccard").alias("j"), F.min("hops").alias("min_hop"), F.avg("shared").alias("s"), F.count("*").alias("pairs"))
+    zero = F.lit(0.0)
+    return own.join(per, "src", "left").select(
+        "src", "n_cited", F.round(F.coalesce("j", zero), 9).alias("avg_jaccard"), "min_hop", F.round(F.coalesce("s", zero), 9).alias("avg_shared"), F.coalesce("pairs", F.lit(0)).alias("pair_count")
+    )
 
 
 def neighbour_sets(spark, sf):

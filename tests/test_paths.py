@@ -25,8 +25,8 @@ def hops(edges, a, b, most=5):
 def write(spark, folder, edges, cases):
     """Tables of a small graph, as the graph queries read them."""
     spark.createDataFrame(edges, "src bigint, dst bigint").write.parquet(f"{folder}/graph_edges.parquet")
-    rows = [(i, c, f"v. {c}", "2001-01-01", "scotus") for i, c in enumerate(cases)]
-    cols = "row_id bigint, case_id bigint, case_name string, date_filed string, court_id string"
+    rows = [(i, c, f"v. {c}", "2001-01-01", "scotus", "Res judicata.") for i, c in enumerate(cases)]
+    cols = "row_id bigint, case_id bigint, case_name string, date_filed string, court_id string, plain_text string"
     spark.createDataFrame(rows, cols).write.parquet(f"{folder}/cases_enriched.parquet")
     spark.createDataFrame([], "case_id bigint, case_name string, date_filed string, court_id string").write.parquet(f"{folder}/landmark_cases.parquet")
     return str(folder)
