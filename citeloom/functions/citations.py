@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+import json
 import re
+import warnings
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from citeloom import constants as K
@@ -68,10 +73,30 @@ def opinion_id(url: Column) -> Column:
     return F.regexp_extract(url, OPINION, 1).try_cast("bigint")
 
 
+def literal_list(text: str | None) -> list[str | None] | None:
+    """The items of a JSON list, else of a Python list or tuple; None for anything else."""
+    if text is None:
+        return None
+    for parse in (json.loads, ast.literal_eval):
+        try:
+            with warnings.catch_warnings(action="ignore"):
+                found = parse(text.strip())
+        except Exception:  # noqa: BLE001 - whatever fails is no list
+            continue
+        if isinstance(found, list | tuple):
+            return [x if x is None or isinstance(x, str) else str(x) for x in found]
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _literal_lists(texts: pd.Series) -> pd.Series:
+    return texts.map(literal_list)
+
+
 def json_list(text: Column, keep_raw: bool) -> Column:
-    """A JSON or quoted list as an array; otherwise [text] or [], as the caller's rule has it."""
-    parsed = F.from_json(text, "array<string>")
-    return F.coalesce(parsed, F.array(text) if keep_raw else F.array().cast("array<string>"))
+    """A JSON or quoted list as an array; otherwise [text] or [], as the caller's rule has it. A null text has no items under either rule."""
+    empty = F.array().cast("array<string>")
+    return F.coalesce(_literal_lists(text), F.when(text.isNotNull(), F.array(text)).otherwise(empty) if keep_raw else empty)
 
 
 def citation_strings(cites: Column) -> Column:
