@@ -121,7 +121,7 @@ def char_context(text: Column, citation: Column, radius: int = 300) -> Column:
     return F.when(at > 0, F.substr(text, start, at + F.length(citation) + radius - start))
 
 
-def last_writer(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def last_writer(df: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:
     """One row per key, the last in order."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

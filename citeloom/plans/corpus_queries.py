@@ -33,10 +33,13 @@ def merge_batches(spark, sf):
 
 
 def embedding_upsert(spark, sf):
-    """The latest embedding of each chunk, as an incremental load keeps it."""
-    v = table(spark, sf, "embeddings_chunked").filter("case_id is not null").select("vec_id", "case_id", "chunk_index")
-    last = C.last_writer(v, "case_id", [F.col("vec_id").desc()])
-    return U.keep_last(last.filter("vec_id % 3 <> 0"), last.filter("vec_id % 2 = 0"), ["case_id"]).select("case_id", "vec_id", "chunk_index")
+    """The latest embedding of each chunk, as an incremental load keeps it: the last month's rows are loaded into those of before."""
+    v = table(spark, sf, "embeddings_chunked").filter("case_id is not null").select("vec_id", "case_id", "chunk_index", "embedded_at")
+    month = v.agg(F.date_trunc("month", F.max("embedded_at")).alias("month"))
+    v = v.crossJoin(F.broadcast(month)).withColumn("is_new", F.coalesce(F.col("embedded_at") >= F.col("month"), F.lit(False)))
+    key = ["case_id", "chunk_index"]
+    old, new = (C.last_writer(v.filter(c), key, [F.col("embedded_at").desc(), F.col("vec_id").desc()]) for c in (~F.col("is_new"), F.col("is_new")))
+    return U.keep_last(old, new, key).select("case_id", "vec_id", "chunk_index")
 
 
 def resume_anti(spark, sf):
