@@ -63,7 +63,7 @@ def _tokens(spark, sf):
 
 def _text_queries(spark, sf):
     b = table(spark, sf, "benchmark_items").filter("benchmark_id % 50 = 0 and context is not null")
-    return b.select(F.col("benchmark_id").alias("q"), F.slice(F.filter(X.alpha_tokens(F.col("context")), lambda t: F.length(t) >= 2), 1, 12).alias("tokens"))
+    return b.select(F.col("benchmark_id").alias("q"), F.filter(X.alpha_tokens(F.col("context")), lambda t: F.length(t) >= 2).alias("tokens"))
 
 
 _BM = """toks AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 2) AS t FROM documents WHERE text IS NOT NULL),
@@ -87,11 +87,11 @@ def bm25_topk(spark, sf):
 
 
 def _dense_docs(spark, sf):
-    """Dense hits on documents: the cases nearest to a query's vector, by the documents that discuss them."""
+    """Dense hits on documents: the cases nearest to a query's vector, by all documents that discuss them."""
     v = _vectors(spark, sf).filter("case_id is not null")
     q = v.filter("id % 50 = 0").select(F.col("id").alias("q"), "embedding")
     pooled = R.case_pool(R.nearest(q, v, 5 * K.TOP_K), v, K.TOP_K)
-    docs = table(spark, sf, "documents").filter("case_id is not null and text is not null").groupBy("case_id").agg(F.min("doc_id").alias("doc"))
+    docs = table(spark, sf, "documents").filter("case_id is not null and text is not null").select("case_id", F.col("doc_id").alias("doc"))
     hit = pooled.join(docs, "case_id").select("q", F.col("doc").alias("id"), "dense", F.col("rank").alias("r"))
     from pyspark.sql.window import Window
 
