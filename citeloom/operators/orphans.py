@@ -22,12 +22,19 @@ from citeloom.session import cut
 
 @dataclass
 class Orphans:
-    """direct: every direct orphan reference; inherited: references to entities orphaned at `level`."""
+    """found: every orphan reference with its reason and level, as the fixpoint has them; reason is late, deleted or missing at level 0, inherited beyond."""
 
-    direct: DataFrame
-    inherited: DataFrame
+    found: DataFrame
     levels: int
 
+    @property
+    def direct(self) -> DataFrame:
+        return self.found.filter("level = 0")
+
+    @property
+    def inherited(self) -> DataFrame:
+        return self.found.filter("level > 0")
+
 
 def entity_state(live: DataFrame, always: DataFrame, removed: DataFrame) -> DataFrame:
     """One row per entity id: first_at (earliest time in live), known (in always), gone (in removed).
@@ -63,20 +70,20 @@ def orphan_references(refs: DataFrame, state: DataFrame, max_levels: int | None
 
     Entities that are missing or deleted start the cascade at level 0. An entity whose record refers
     to one of them is orphaned at level 1, and so on; cycles end because an entity keeps its first
-    level. `inherited` lists references to entities of level 1 and more that aren't themselves direct orphans.
+    level. Every reference to an entity the fixpoint reached comes out with that entity's level; a reference ahead
+    of its entity's time is late, at level 0, whatever became of the entity. An empty table gives no rows.
     """
     judged = cut(with_reason(refs.filter("ref is not null"), state))
-    direct = judged.filter("reason is not null")
     pairs = cut(judged.filter("owner is not null and owner <> ref").select("owner", "ref").distinct())
-    reached = judged.filter("reason in ('missing', 'deleted')").select(F.col("ref").alias("id")).distinct().withColumn("level", F.lit(0))
-    reached = cut(reached)
+    reached = cut(judged.filter("reason in ('missing', 'deleted')").select(F.col("ref").alias("id"), F.col("reason").alias("why")).distinct().withColumn("level", F.lit(0)))
     frontier, level = reached, 0
     while max_levels is None or level < max_levels:
         level += 1
         nxt = pairs.join(frontier.select(F.col("id").alias("ref")), "ref", "left_semi").select(F.col("owner").alias("id")).distinct()
-        frontier = cut(nxt.join(reached.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
+        frontier = cut(nxt.join(reached.select("id"), "id", "left_anti").withColumns({"why": F.lit("inherited"), "level": F.lit(level)}))
         if frontier.isEmpty():
             break
         reached = cut(reached.unionByName(frontier)) if level % 4 == 0 else reached.unionByName(frontier)
-    inherited = judged.filter("reason is null").join(reached.filter("level > 0").select(F.col("id").alias("ref"), "level"), "ref")
-    return Orphans(direct, inherited, level)
+    late = F.coalesce(F.col("reason") == "late", F.lit(False))
+    hit = judged.filter(~late).drop("reason").join(reached.select(F.col("id").alias("ref"), F.col("why").alias("reason"), "level"), "ref")
+    return Orphans(hit.unionByName(judged.filter(late).withColumn("level", F.lit(0))), level)

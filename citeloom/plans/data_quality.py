@@ -56,31 +56,34 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Orphan references per table and month, direct by reason and inherited by level."""
-    o = _orphans(spark, sf)
-    both = o.direct.withColumn("level", F.lit(0)).unionByName(o.inherited.withColumn("reason", F.lit("inherited")))
-    return _month(both).groupBy("ref_table", "ref_month", "reason", "level").agg(F.count("*").alias("n_refs"), F.countDistinct("ref").alias("n_ids"))
+    """Orphan references and the ids they name per table and month, direct by reason and inherited by level; repeated ones of one record count once."""
+    found = _month(_orphans(spark, sf).found).select("ref_table", "ref_month", "reason", "level", "ref_key", "ref").distinct()
+    return found.groupBy("ref_table", "ref_month", "reason", "level").agg(F.count("*").alias("n_refs"), F.countDistinct("ref").alias("n_ids"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report}
 
-#: The lists' grammar is no SQL; p4_found is, from the same entry patterns over the raw text.
-ORACLES: dict[str, str] = {
-    "p4_found": r"""
-WITH live AS (SELECT case_id AS id, min(fetched_at) AS first_at FROM cases_enriched WHERE case_id IS NOT NULL GROUP BY 1),
+_REFS = r"""live AS (SELECT case_id AS id, min(fetched_at) AS first_at FROM cases_enriched WHERE case_id IS NOT NULL GROUP BY 1),
 named AS (
-  SELECT row_id, fetched_at, unnest(regexp_extract_all(opinions_cited, '(?:^|[^0-9A-Za-z/._-])([0-9]+)(?:$|[^0-9A-Za-z/._?-])', 1)) AS x FROM cases_enriched
+  SELECT row_id, case_id, fetched_at, unnest(regexp_extract_all(opinions_cited, '(?:^|[^0-9A-Za-z/._-])([0-9]+)(?:$|[^0-9A-Za-z/._?-])', 1)) AS x FROM cases_enriched
   UNION ALL
-  SELECT row_id, fetched_at, unnest(regexp_extract_all(opinions_cited, 'opinions?/([0-9]+)', 1)) AS x FROM cases_enriched),
+  SELECT row_id, case_id, fetched_at, unnest(regexp_extract_all(opinions_cited, 'opinions?/([0-9]+)', 1)) AS x FROM cases_enriched),
 refs AS (
-  SELECT 'cases_enriched' AS ref_table, row_id AS ref_key, CAST(x AS BIGINT) AS ref_id, fetched_at AS seen_at FROM named
-  UNION SELECT 'graph_edges', edge_id, dst, loaded_at FROM graph_edges
-  UNION SELECT 'embeddings_chunked', vec_id, case_id, embedded_at FROM embeddings_chunked),
+  SELECT 'cases_enriched' AS ref_table, row_id AS ref_key, case_id AS owner, CAST(x AS BIGINT) AS ref_id, fetched_at AS seen_at FROM named
+  UNION SELECT 'graph_edges', edge_id, src, dst, loaded_at FROM graph_edges
+  UNION SELECT 'embeddings_chunked', vec_id, NULL, case_id, embedded_at FROM embeddings_chunked),
 judged AS (
   SELECT r.*, CASE WHEN l.id IS NOT NULL AND l.first_at > r.seen_at THEN 'late' WHEN l.id IS NOT NULL OR m.case_id IS NOT NULL THEN NULL
     WHEN d.case_id IS NOT NULL THEN 'deleted' ELSE 'missing' END AS reason
   FROM refs r LEFT JOIN live l ON l.id = r.ref_id LEFT JOIN landmark_cases m ON m.case_id = r.ref_id LEFT JOIN case_removals d ON d.case_id = r.ref_id
-  WHERE r.ref_id IS NOT NULL)
-SELECT DISTINCT ref_table, ref_key, ref_id, reason, strftime(seen_at, '%Y-%m') AS ref_month FROM judged WHERE reason IS NOT NULL
-""",
+  WHERE r.ref_id IS NOT NULL)"""
+
+#: The lists' grammar is no SQL; the orphans are, from the same entry patterns over the raw text. The cascade's levels end long before 30.
+ORACLES: dict[str, str] = {
+    "p4_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_key, ref_id, reason, strftime(seen_at, '%Y-%m') AS ref_month FROM judged WHERE reason IS NOT NULL",
+    "p4_report": f"""WITH RECURSIVE {_REFS}, walk(id, level) AS (SELECT DISTINCT ref_id, 0 FROM judged WHERE reason IN ('missing', 'deleted')
+      UNION SELECT j.owner, w.level + 1 FROM walk w JOIN judged j ON j.ref_id = w.id WHERE j.owner IS NOT NULL AND j.owner <> j.ref_id AND w.level < 30),
+    reached AS (SELECT id, min(level) AS level FROM walk GROUP BY id),
+    both_kinds AS (SELECT *, 0 AS level FROM judged WHERE reason IS NOT NULL UNION ALL SELECT j.* REPLACE ('inherited' AS reason), r.level FROM judged j JOIN reached r ON r.id = j.ref_id WHERE j.reason IS NULL AND r.level > 0)
+    SELECT ref_table, strftime(seen_at, '%Y-%m') AS ref_month, reason, CAST(level AS INTEGER) AS level, count(DISTINCT (ref_key, ref_id)) AS n_refs, count(DISTINCT ref_id) AS n_ids FROM both_kinds GROUP BY ALL""",
 }
