@@ -60,4 +60,5 @@ YEAR_SHIFTS = [-3, -2, -1, 1, 2, 3]
 YEAR_RANGE = (2005, 2025)
 EXCLUDED_YEARS = ["2026"]
 PUNISHED, SUSPECTED = 0.70, 0.40
+STATE_SHARE = 0.4
 FEATURES = ["rrf_score", "dense_score", "case_sim", "density_score", "pagerank_score", "name_score", "temporal_valid"]

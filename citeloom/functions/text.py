@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -139,6 +141,11 @@ def label(text: Column, most: int = 40) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
 
+def node_size(cites: Column) -> Column:
+    """15 to 50 by citations, as many as 500."""
+    return 15 + F.least(F.coalesce(cites, F.lit(0)), F.lit(500)) / 500.0 * 35
+
+
 def fenced_json(reply: Column) -> Column:
     """A model's reply without its code fence."""
     return F.trim(F.regexp_replace(F.trim(reply), r"^```(?:json)?[ \t\n\r\f]*|[ \t\n\r\f]*```$", ""))
@@ -157,30 +164,36 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.size(words(text)) * F.lit(0.75)).cast("bigint")
 
 
-def pack_paragraphs(paras: list[str], most: int = 512, overlap: int = 1, count=lambda p: len(p.split())) -> list[str]:
-    """Greedy chunks of whole paragraphs, each starting again with the last `overlap` of the one before.
+def chunk_spans(sizes: Sequence[int], room: int, overlap: int) -> list[tuple[int, int, bool]]:
+    """(from, to, cut) of each chunk over paragraphs of the given sizes; `cut` where its last paragraph alone exceeds the room and is cut to it.
+
+    Running totals are searched for the last paragraph that still fits; an oversized paragraph counts as more than any room, so
+    the search stops before it, and it then closes the chunk.
+    """
+    total = [0, *accumulate(min(n, room + 1) for n in sizes)]
+    spans, at = [], 0
+    while at < len(sizes):
+        to = bisect_right(total, total[at] + room) - 1
+        big = to < len(sizes) and sizes[to] > room
+        spans.append((at, to + big, big))
+        at += max(1, to + big - at - overlap)
+    return spans
+
+
+def pack_paragraphs(paras: Sequence[str], most: int = 512, overlap: int = 1, tokens: Callable[[str], list[str]] = str.split) -> list[str]:
+    """Chunks of whole paragraphs under `most` tokens (two are kept for marks), parted by blank lines; each begins with the last `overlap` of the one before.
 
-    A paragraph longer than most - 2 is cut to that and closes its chunk. After the last paragraph the start goes on by what was not
-    overlapped, so a short tail chunk may follow. No paragraphs give no chunks.
+    An oversized paragraph is cut to what there is room for and closes its chunk. After the last paragraph the start goes on by what was
+    not overlapped, so a short tail chunk may follow. No paragraphs give no chunks.
     """
-    chunks, i, n = [], 0, len(paras)
-    while i < n:
-        j, used, parts = i, 0, []
-        while j < n:
-            size = count(paras[j])
-            if size > most - 2:
-                if not parts:
-                    parts.append(" ".join(paras[j].split()[: most - 2]))
-                    j += 1
-                break
-            if used + size + 2 > most:
-                break
-            parts.append(paras[j])
-            used += size
-            j += 1
-        chunks.append(" ".join(parts))
-        i += max(1, (j - i) - overlap)
-    return chunks
+    split = [tokens(p) for p in paras]
+    out = []
+    for a, b, big in chunk_spans([len(t) for t in split], most - 2, overlap):
+        part = list(paras[a:b])
+        if big:
+            part[-1] = " ".join(split[b - 1][: most - 2])
+        out.append("\n\n".join(part))
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

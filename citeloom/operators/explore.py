@@ -22,11 +22,6 @@ def project(df: DataFrame, key: str, vector: str) -> DataFrame:
     return out.select(key, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))
 
 
-def node_size(cites: Column) -> Column:
-    """15 to 50 by citations, as many as 500."""
-    return 15 + F.least(F.coalesce(cites, F.lit(0)), F.lit(500)) / 500.0 * 35
-
-
 def overlay(targets: DataFrame, coords: DataFrame, matches: DataFrame) -> DataFrame:
     """(q, x, y, placed_by): a target's own place, else the centroid of its matches', else none."""
     own = targets.join(coords.select(F.col("case_id"), F.col("x").alias("ox"), F.col("y").alias("oy")), "case_id", "left")

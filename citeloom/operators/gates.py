@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom import constants as K
+from citeloom.session import cut
 
 
 def metadata(cited_year: Column, cited_court: Column, actual_year: Column, actual_court: Column, node: Column, tolerance: int = 0) -> dict[str, Column]:
@@ -112,20 +114,84 @@ def breakdown(model: dict) -> Column:
     return F.array(*rows)
 
 
-def check_citations(cites: DataFrame, index: DataFrame, nodes: DataFrame, density: DataFrame, this_year: int, text_col: str = "citation_string") -> DataFrame:
-    """Every citation of every document with its gates and verdict: one plan over all documents.
+@dataclass
+class Parts:
+    """What the check of citations may call on; a part that is None leaves its gate unchecked.
 
-    cites (doc_id, pos, citation_string, ...), index (citation_string, case_id, case_name), nodes (id, name, year,
-    court_id, stub, landmark), density (id, density). An unknown citation is kept with exists = false.
+    lookup (citation_string, case_id): answers of a citation service, asked after the corpus. rank (id, rank): authority.
+    semantic: (q, context, case_id) -> (q, rrf_score, dense_score, case_sim, relevant, top_matches). judge: (q, context, case_id, gate) ->
+    (q, llm_checked, llm_accurate). model: a trained scorer. cross: (doc_id, case_id) -> mean_jaccard, min_hop, pair_count, has_doctrines, mean_shared.
     """
+
+    lookup: DataFrame | None = None
+    rank: DataFrame | None = None
+    semantic: Callable[[DataFrame], DataFrame] | None = None
+    judge: Callable[[DataFrame], DataFrame] | None = None
+    model: dict | None = None
+    cross: Callable[[DataFrame], DataFrame] | None = None
+
+
+def resolve(cites: DataFrame, index: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """cites with case_id and case_name: of the corpus' index first, else the service's answer (without a name)."""
+    j = cites.join(index, "citation_string", "left")
+    if lookup is None:
+        return j
+    more = lookup.filter("case_id is not null").groupBy("citation_string").agg(F.min("case_id").alias("_found"))
+    return j.join(more, "citation_string", "left").withColumn("case_id", F.coalesce("case_id", "_found")).drop("_found")
+
+
+def cheap_gates(found: DataFrame, nodes: DataFrame, density: DataFrame, this_year: int, text: Column, rank: DataFrame | None = None) -> DataFrame:
+    """Existence, metadata, name, time and connectivity of resolved citations: one join with the nodes and one with their graph signals."""
     from citeloom.functions import citations as C
 
-    n = nodes.select(F.col("id").alias("case_id"), F.col("year").alias("actual_year"), F.col("court_id").alias("actual_court"), "landmark", F.lit(True).alias("node"))
-    j = cites.join(index, "citation_string", "left").join(n, "case_id", "left").join(density.withColumnRenamed("id", "case_id"), "case_id", "left")
-    text = F.col(text_col)
-    j = j.withColumns({"exists": F.coalesce("node", F.lit(False)), "cited_year": C.cited_year(text), "cited_court": C.cited_court(text)})
+    n = nodes.select(F.col("id").alias("case_id"), F.col("name").alias("node_name"), F.col("year").alias("actual_year"), F.col("court_id").alias("actual_court"), "landmark", F.lit(True).alias("node"))
+    g = density if rank is None else density.join(rank, "id", "left")
+    j = found.join(n, "case_id", "left").join(g.withColumnRenamed("id", "case_id"), "case_id", "left")
+    j = j.withColumns({"exists": F.coalesce("node", F.lit(False)), "cited_year": C.cited_year(text), "cited_court": C.cited_court(text), "cited_name": C.party_names(text)})
     j = j.withColumns(metadata(F.col("cited_year"), F.col("cited_court"), F.col("actual_year"), F.col("actual_court"), F.col("exists")))
+    j = j.withColumns(name_check(F.col("cited_name"), F.col("node_name")))
     j = j.withColumns(temporal(F.col("cited_year"), F.col("actual_year"), this_year))
-    j = j.withColumns({"density": F.coalesce("density", F.lit(0)), "is_connected": F.coalesce("landmark", F.lit(False)) | (F.coalesce("density", F.lit(0)) >= K.DENSITY_CUT)})
-    none = F.lit(None).cast("boolean")
-    return j.withColumn("verdict", online_verdict(F.col("exists"), F.col("meta_checked"), F.col("meta_valid"), none, none, F.lit(None).cast("double"), F.col("is_connected") & F.col("temporal_valid")))
+    landmark = F.coalesce("landmark", F.lit(False))
+    return j.withColumns({"density": F.coalesce("density", F.lit(0)), "landmark": landmark, "is_connected": landmark | (F.coalesce("density", F.lit(0)) >= K.DENSITY_CUT), "pagerank_score": F.col("rank") if rank is not None else F.lit(None).cast("double")})
+
+
+def check_citations(cites: DataFrame, index: DataFrame, nodes: DataFrame, density: DataFrame, this_year: int, text_col: str = "citation_string", parts: Parts | None = None) -> DataFrame:
+    """Every citation of every document with its gates and verdict: one plan over all documents.
+
+    cites (doc_id, pos, citation_string, and context where meaning is judged), index (citation_string, case_id, case_name), nodes (id,
+    name, year, court_id, stub, landmark), density (id, density). Unknown citations stay, with exists = false. Gates see the canonical string;
+    give text_col to let them see more. Only citations that pass existence and metadata reach search, and only relevant ones the judge.
+    Signals of cases cited together are stamped on afterwards and change no verdict.
+    """
+    parts = parts or Parts()
+    j = cheap_gates(resolve(cites, index, parts.lookup), nodes, density, this_year, F.col(text_col), parts.rank)
+    spark = cites.sparkSession
+    if parts.semantic is not None:
+        j = cut(j.withColumn("q", F.shiftleft(F.col("doc_id").cast("bigint"), 20) + F.col("pos")))
+        open_ = j.filter(F.col("exists") & F.col("meta_valid")).select("q", "context", "case_id")
+        sem = cut(parts.semantic(open_))
+        j = j.join(sem, "q", "left")
+        asked = parts.judge(open_.join(sem.select("q", F.col("relevant").alias("gate")), "q")) if parts.judge is not None else spark.createDataFrame([], "q bigint, llm_checked boolean, llm_accurate boolean")
+        j = j.join(asked.select("q", "llm_checked", "llm_accurate"), "q", "left")
+    else:
+        none = {f.split()[0]: f.split(None, 1)[1] for f in ("rrf_score double", "dense_score double", "case_sim double", "relevant boolean", "llm_checked boolean", "llm_accurate boolean")}
+        j = j.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    p = F.lit(None).cast("double")
+    if parts.model is not None:
+        stopped = ~F.col("exists") | (F.col("meta_checked") & ~F.col("meta_valid")) | F.coalesce(F.col("llm_checked") & ~F.col("llm_accurate"), F.lit(False))
+        j = j.withColumn("density_score", F.col("density"))
+        p = F.when(~stopped, probability(logit(parts.model)))
+    j = j.withColumn("p_hallucinated", p)
+    relevant = F.coalesce("relevant", F.lit(False)) if parts.semantic is not None else F.lit(True)
+    soft = relevant & F.col("is_connected") & F.col("name_valid") & F.col("temporal_valid")
+    j = j.withColumn("verdict", online_verdict(F.col("exists"), F.col("meta_checked"), F.col("meta_valid"), F.col("llm_checked"), F.col("llm_accurate"), F.col("p_hallucinated"), soft))
+    if parts.cross is not None:
+        known = j.filter("exists").select("doc_id", "case_id")
+        several = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n >= 2").select("doc_id")
+        j = j.join(parts.cross(known.distinct().join(several, "doc_id", "left_semi")), ["doc_id", "case_id"], "left")
+    return j
+
+
+def valid_input(text: Column, most: int = K.MAX_CHARS) -> Column:
+    """Why a text is refused: 'empty' or 'too long'; null where it is taken."""
+    return F.when(F.coalesce(F.length(F.regexp_replace(text, r"[ \t\n\r\f]+", "")), F.lit(0)) == 0, "empty").when(F.length(text) > most, "too long")

@@ -35,30 +35,38 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("x.id").agg(F.sum("x.o").cast("bigint").alias("out_degree"), F.sum("x.i").cast("bigint").alias("in_degree"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = K.DAMPING, rounds: int = K.MAX_ITERATIONS, tolerance: float | None = K.TOLERANCE, every: int = 4) -> DataFrame:
+#: Cited works that a row of PageRank holds at most; longer lists are split.
+LINKS = 10_000
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = K.DAMPING, rounds: int = K.MAX_ITERATIONS, tolerance: float | None = K.TOLERANCE) -> DataFrame:
     """(id, rank) by power iteration over all nodes, isolated ones too; the mass of dangling nodes is spread evenly.
 
     Stops when the L1 change falls under N * tolerance, judged after the new ranks are taken; tolerance None makes every
-    round. Contributions are summed before they are shuffled, so a work that a third of all edges cite is one row per task.
+    round. A node is one row with the works it cites, and passes its own share on: a round explodes that row and sums what each work
+    gets, per task before the exchange, so links never meet ranks in a join and a work that a third of all edges cite is one row per task.
+    One aggregate a round gives both the change and the next round's dangling mass. A hub's list is split into rows of LINKS works.
     """
-    out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    links = cut(edges.join(out, "src"))
-    base = cut(nodes.select("id").distinct().join(out.withColumnRenamed("src", "id"), "id", "left"))
-    n = base.count()
+    deg = edges.groupBy("src").agg(F.count("*").alias("deg"), F.min("dst").alias("least"))
+    # A node's first row, which stands for it, surely exists: its least work goes there.
+    slot = F.when(F.col("dst") == F.col("least"), 0).otherwise(F.pmod(F.xxhash64("dst"), F.ceil(F.col("deg") / LINKS))).cast("int")
+    lists = edges.join(deg, "src").groupBy("src", slot.alias("slot")).agg(F.collect_list("dst").alias("dst"), F.first("deg").alias("deg"))
+    base = cut(nodes.select("id").distinct().join(lists.withColumnRenamed("src", "id"), "id", "left").withColumn("head", F.coalesce("slot", F.lit(0)) == 0).drop("slot"))
+    n = base.filter("head").count()
     if n == 0:
         return base.select("id", F.lit(0.0).alias("rank"))
-    ranks = base.select("id", "deg", F.lit(1.0 / n).alias("rank"))
+    dangling = base.filter("head and deg is null").count() / n
+    ranks = base.withColumn("rank", F.lit(1.0 / n))
     for k in range(rounds):
-        dangling = ranks.filter("deg is null").agg(F.sum("rank")).first()[0] or 0.0
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        new = ranks.select("id", "deg", F.col("rank").alias("old")).join(given, "id", "left")
-        new = new.select("id", "deg", "old", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling) / n)).alias("rank"))
-        if tolerance is not None or (k + 1) % every == 0:
-            new = cut(new)
-        ranks = new.select("id", "deg", "rank")
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+        given = ranks.filter("deg is not null").select(F.explode("dst").alias("id"), (F.col("rank") / F.col("deg")).alias("share")).groupBy("id").agg(F.sum("share").alias("got"))
+        new = ranks.withColumnRenamed("rank", "old").join(given, "id", "left")
+        new = new.withColumn("rank", (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling) / n)).drop("got")
+        new = cut(new)
+        s = new.filter("head").agg(F.sum(F.when(F.col("deg").isNull(), F.col("rank"))).alias("d"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).first()
+        dangling, ranks = s["d"] or 0.0, new.drop("old")
+        if tolerance is not None and s["change"] < n * tolerance:
             break
-    return ranks.select("id", "rank")
+    return ranks.filter("head").select("id", "rank")
 
 
 def within_hops(edges: DataFrame, starts: DataFrame, hops: int, undirected: bool = False) -> DataFrame:
@@ -139,10 +147,22 @@ def shared_labels(labels: DataFrame, pairs: DataFrame, key: str = "case_id", lab
     return pairs.join(n, ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
-def cited_together(cites: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, a, b), a < b: the distinct known cases that one text cites, in pairs; texts with one case give none."""
-    d = cites.select(doc, "case_id").distinct()
-    return d.select(doc, F.col("case_id").alias("a")).join(d.select(doc, F.col("case_id").alias("b")), doc).filter("a < b")
+def cross_signals(cites: DataFrame, edges: DataFrame, known: DataFrame, labels: DataFrame, doc: str = "doc_id", most: int = 5) -> DataFrame:
+    """(doc, case_id, mean_jaccard, min_hop, pair_count, has_doctrines, mean_shared) of every distinct case that a text cites (doc, case_id).
+
+    A case's signals are means and least values over its pairs with the text's other cases: likeness of cited works (edges), hops
+    (undirected, over `known` edges, null beyond `most`), shared labels (case_id, doctrine). A text's only case has no pairs, null means
+    and has_doctrines. Pairs are formed in blocks and each different pair is judged once, however many texts cite both.
+    """
+    d = cut(cites.filter("case_id is not null").select(doc, "case_id").distinct())
+    per_doc = cut(list_pairs(d, doc, "case_id"))
+    pairs = cut(per_doc.select("a", "b").distinct())
+    sig = jaccard(edges, pairs).join(shared_labels(labels, pairs), ["a", "b"]).join(shortest_paths(known, pairs, most), ["a", "b"])
+    ends = per_doc.join(sig, ["a", "b"]).select(doc, F.explode(F.array("a", "b")).alias("case_id"), "jaccard", "hops", "shared")
+    means = ends.groupBy(doc, "case_id").agg(F.avg("jaccard").alias("mean_jaccard"), F.min("hops").alias("min_hop"), F.count("*").alias("pair_count"), F.avg("shared").alias("mean_shared"))
+    has = labels.select("case_id").distinct().withColumn("has_doctrines", F.lit(True))
+    j = d.join(means, [doc, "case_id"], "left").join(has, "case_id", "left")
+    return j.select(doc, "case_id", "mean_jaccard", "min_hop", F.coalesce("pair_count", F.lit(0)).alias("pair_count"), F.coalesce("has_doctrines", F.lit(False)).alias("has_doctrines"), "mean_shared")
 
 
 def list_pairs(rows: DataFrame, key: str, item: str, block: int = 64) -> DataFrame:
@@ -162,8 +182,3 @@ def subgraph_paths(edges: DataFrame, start: int, hops: int, limit: int = 100) ->
         two = one.join(edges.select(F.col("src").alias("n2"), F.col("dst").alias("n4")), "n2").select("n1", "n2", F.col("n4").alias("n3"))
         one = one.unionByName(two)
     return one.orderBy("n1", "n2", F.col("n3").asc_nulls_first()).limit(limit)
-
-
-def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")

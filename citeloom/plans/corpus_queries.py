@@ -105,7 +105,7 @@ def projection(spark, sf):
 
 
 def cite_sizes(spark, sf):
-    return V.cases(spark, sf, "cite_count").select("case_id", F.round(E.node_size(F.col("cite_count")), 6).alias("size"))
+    return V.cases(spark, sf, "cite_count").select("case_id", F.round(X.node_size(F.col("cite_count")), 6).alias("size"))
 
 
 def landmark_presence(spark, sf):

@@ -48,10 +48,17 @@ def test_context(spark):
 
 
 def test_packer_adds_a_tail_chunk():
-    assert X.pack_paragraphs(["a b", "c d", "e f"]) == ["a b c d e f", "e f"]
+    assert X.pack_paragraphs(["a b", "c d", "e f"]) == ["a b\n\nc d\n\ne f", "e f"]
     assert X.pack_paragraphs([]) == [] and len(X.pack_paragraphs([" ".join(["w"] * 600)])[0].split()) == 510
 
 
+def test_packer_closes_a_chunk_with_an_oversized_paragraph():
+    paras = ["a b", "c d e f g h", "i"]
+    assert X.pack_paragraphs(paras, most=6, overlap=1) == ["a b\n\nc d e f", "c d e f", "i"]
+    assert X.pack_paragraphs(paras, most=6, overlap=0) == ["a b\n\nc d e f", "i"]
+    assert X.chunk_spans([3, 3, 3, 3], 6, 1) == [(0, 2, False), (1, 3, False), (2, 4, False), (3, 4, False)]
+
+
 def test_bench_verdict_truth_table(spark):
     rows = list(itertools.product([True, False], [True, False, None], [True, False, None], [True, False], [True, False], [0.0, 0.02, None], [0, 1, None]))
     df = spark.createDataFrame(rows, "e boolean, mc boolean, mv boolean, lc boolean, la boolean, rrf double, d int")
