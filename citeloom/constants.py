@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-#: Citation reporters that the extractor knows; pass another list to use others.
+#: Citation reporters that the extractor knows; callers whose texts cite others pass them along.
 REPORTERS = [
     "U.S.", "S. Ct.", "S.Ct.", "L. Ed.", "L. Ed. 2d", "L.Ed.2d", "F.", "F.2d", "F.3d", "F.4th", "F. Supp.", "F. Supp. 2d", "F. Supp. 3d", "B.R.", "F.R.D.", "Fed. Cl.", "Fed. Appx.", "A.2d", "A.3d", "N.E.2d", "N.E.3d", "N.W.2d", "P.2d", "P.3d", "S.E.2d", "S.W.2d", "S.W.3d", "So. 2d", "So. 3d", "WL",
-    "Vell. Rep.", "Vell. Rep. 2d", "Prov. Ct. R.", "App. Qm.", "App. Qm. 3d", "Ost. Ch.", "Q.M.L.R. 2d", "Lor. L.J.", "Sorrel App.", "Tams. § Dec.", "Harl. & T., N.S.", "Esk. 4th", "N.D.R.", "Dunvale's Ch.", "Rev. Céd.", "Cal. Rec., Ser. B", 'Q. "Red" Rep.',
 ]
 
 #: Doctrines and the phrases that name them.

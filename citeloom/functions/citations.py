@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from citeloom import constants as K
 
+#: Fixed patterns: parties of a name, a year, a bare court id, a plain citation, an opinion's address.
 PARTY = r"^([A-Za-z][^,]+?[ \t\n\r\f]+v\.[ \t\n\r\f]+[A-Za-z][^,0-9]+?)(?:,|[ \t\n\r\f]+[0-9]|[ \t\n\r\f]*$)"
 YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
 COURT = r"\(([a-z][a-z0-9]{1,10})\)[ \t\n\r\f]*$"
@@ -33,17 +34,18 @@ def canonical(volume: Column, reporter: Column, page: Column) -> Column:
     return F.concat_ws(" ", volume.cast("int"), reporter, page.cast("int"))
 
 
-def extract(df: DataFrame, key: str, text: str, reporters: Sequence[str] = tuple(K.REPORTERS)) -> DataFrame:
-    """(key, pos, volume, reporter, page, citation_string): full citations of each text, the first of equal ones, in order.
+def extract(df: DataFrame, key: str, text: str, reporters: Sequence[str] = tuple(K.REPORTERS), keep: Sequence[str] = ()) -> DataFrame:
+    """(key, keep..., pos, volume, reporter, page, citation_string): full citations of each text, the first of equal ones, in order.
 
-    pos counts all matches from 1. Null texts and texts without citations give nothing.
+    pos counts all matches from 1. Null texts and texts without citations give nothing. Columns in `keep` come along; they follow from the key.
     """
     p = reporter_pattern(reporters)
-    found = df.select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("at", "m"))
-    part = lambda i: F.regexp_extract("m", p, i)
-    rows = found.select(key, (F.col("at") + 1).alias("pos"), part(1).cast("int").alias("volume"), part(2).alias("reporter"), part(3).cast("int").alias("page"))
-    rows = rows.groupBy(key, "volume", "reporter", "page").agg(F.min("pos").alias("pos"))
-    return rows.select(key, "pos", "volume", "reporter", "page", canonical(F.col("volume"), F.col("reporter"), F.col("page")).alias("citation_string"))
+    found = df.select(key, *keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("_at", "_m"))
+    part = lambda i: F.regexp_extract("_m", p, i)
+    rows = found.select(key, *keep, (F.col("_at") + 1).alias("pos"), part(1).cast("int").alias("volume"), part(2).alias("reporter"), part(3).cast("int").alias("page"))
+    first = [F.first(c).alias(c) for c in keep]
+    rows = rows.groupBy(key, "volume", "reporter", "page").agg(F.min("pos").alias("pos"), *first)
+    return rows.select(key, *keep, "pos", "volume", "reporter", "page", canonical(F.col("volume"), F.col("reporter"), F.col("page")).alias("citation_string"))
 
 
 def _found(c: Column) -> Column:

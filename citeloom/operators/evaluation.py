@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeloom import constants as K
+from citeloom.session import cut
 
 POSITIVE = ("HALLUCINATED", "SUSPICIOUS")
 
@@ -28,19 +31,37 @@ def rates(df: DataFrame, places: int = 4) -> DataFrame:
 
 def order_key(id_col: str, seed: int) -> Column:
     """A repeatable order that depends on the id and the seed alone (a linear congruence, the same in any engine)."""
-    return (F.col(id_col) * F.lit(1_103_515_245) + F.lit(seed) * 12_345) % F.lit(2_147_483_647)
+    return (F.col(id_col).cast("bigint") % 2_147_483_647 * F.lit(1_103_515_245) + F.lit(seed) * 12_345) % F.lit(2_147_483_647)
+
+
+def placed(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """df with `place`, from 1, and `size` of each row's group, though a group be most of the table.
+
+    Rows are range-partitioned by group and order and written; a task ranks its own rows, and what the tasks before it hold of the same group (a
+    row per task and group) is added. Null is a group like any other.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = cut(df.repartitionByRange(parts, *groups, *order).withColumn("_p", F.spark_partition_id()))
+    n = p.groupBy(*groups, "_p").agg(F.count("*").alias("_n"))
+    g = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    n = n.withColumns({"_before": F.coalesce(F.sum("_n").over(g.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "size": F.sum("_n").over(g)})
+    n = n.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)], F.col("_p").alias("_q"), "_before", "size")
+    p = p.withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_p").orderBy(*order)))
+    same = reduce(Column.__and__, [p[c].eqNullSafe(n[f"_g{i}"]) for i, c in enumerate(groups)], p["_p"] == n["_q"])
+    j = p.join(n, same)
+    return j.withColumn("place", F.col("_before") + F.col("_r")).drop("_p", "_q", "_r", "_before", *[f"_g{i}" for i in range(len(groups))])
 
 
-def stratified_split(df: DataFrame, id_col: str, strata: list[Column], share: float = 0.8, seed: int = 42) -> DataFrame:
+def stratified_split(df: DataFrame, id_col: str, strata: list[str], share: float = 0.8, seed: int = 42) -> DataFrame:
     """`split` train or test, by rank within each stratum."""
-    w = Window.partitionBy(*strata)
-    r = F.row_number().over(w.orderBy(order_key(id_col, seed), id_col))
-    return df.withColumn("split", F.when(r <= F.floor(F.count("*").over(w) * F.lit(share)), "train").otherwise("test"))
+    r = placed(df.withColumn("_k", order_key(id_col, seed)), strata, ["_k", id_col])
+    return r.withColumn("split", F.when(F.col("place") <= F.floor(F.col("size") * F.lit(share)), "train").otherwise("test")).drop("_k", "place", "size")
 
 
-def folds(df: DataFrame, id_col: str, strata: list[Column], k: int = 10, seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(*strata).orderBy(order_key(id_col, seed), id_col)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+def folds(df: DataFrame, id_col: str, strata: list[str], k: int = 10, seed: int = 42) -> DataFrame:
+    r = placed(df.withColumn("_k", order_key(id_col, seed)), strata, ["_k", id_col])
+    return r.withColumn("fold", ((F.col("place") - 1) % k).cast("int")).drop("_k", "place", "size")
 
 
 def grid(spark) -> DataFrame:
@@ -58,9 +79,14 @@ def sweep(scores: DataFrame, verdict) -> DataFrame:
 
 def auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """ROC-AUC by rank sums with average ranks of ties; null with one class only. Scores are counted before they are ranked."""
+    # One row per distinct score; the rows before a score are those of the tasks before and of its own task.
     per = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(truth).alias("pos"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per distinct score
-    r = per.withColumn("upto", F.sum("n").over(w)).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = cut(per.repartitionByRange(parts, "s").withColumn("_p", F.spark_partition_id()))
+    before = per.groupBy("_p").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per task
+    w = Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = per.withColumn("upto", F.sum("n").over(w)).join(before.select("_p", "_before"), "_p")
+    r = r.withColumn("rank", F.col("_before") + F.col("upto") - (F.col("n") - 1) / 2.0)
     t = r.agg(F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("m"), F.sum(F.col("rank") * F.col("pos")).alias("rs"))
     return t.select(F.when((F.col("p") > 0) & (F.col("m") > 0), (F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("m"))).alias("auc"))
 

@@ -192,6 +192,28 @@ def check_citations(cites: DataFrame, index: DataFrame, nodes: DataFrame, densit
     return j
 
 
+def run_entries(bench: DataFrame, nodes: DataFrame, density: DataFrame, this_year: int, parts: Parts) -> DataFrame:
+    """Raw scores of benchmark rows (benchmark_id, citation, context, case_id, label, subtype, corruption_type): every gate, no thresholds.
+
+    The case is the row's own, and the gates see the whole citation. Rows whose case is null or unknown have null scores. Only rows about a
+    false proposition reach the judge; they count as judged also where there is no text to judge by.
+    """
+    j = cut(cheap_gates(bench, nodes, density, this_year, F.col("citation"), parts.rank))
+    known = j.filter("exists").select(F.col("benchmark_id").alias("q"), "context", "case_id", "corruption_type")
+    sem = parts.semantic(known.drop("corruption_type"))
+    said = parts.judge(known.filter("corruption_type = 'proposition'").withColumn("gate", F.lit(True)))
+    j = j.join(sem.withColumnRenamed("q", "benchmark_id"), "benchmark_id", "left").join(said.select(F.col("q").alias("benchmark_id"), F.col("llm_accurate").alias("said")), "benchmark_id", "left")
+    asked = F.col("exists") & F.coalesce(F.col("corruption_type") == "proposition", F.lit(False))
+    when = lambda c, if_: F.when(F.col("exists") & if_, c)
+    yes = F.lit(True)
+    return j.select(
+        "benchmark_id", "label", "subtype", "corruption_type", "exists", "rrf_score", "dense_score", "case_sim", when(F.col("density"), yes).cast("int").alias("density_score"), when(F.col("pagerank_score"), yes).alias("pagerank_score"),
+        when(F.col("meta_valid"), yes).alias("metadata_valid"), "meta_checked", when(F.col("year_match"), yes).alias("year_match"), when(F.col("court_match"), yes).alias("court_match"), when(F.col("name_score"), F.col("name_checked")).alias("name_score"), (F.col("exists") & F.col("name_checked")).alias("name_checked"),
+        when(F.col("temporal_valid"), F.col("temporal_checked")).alias("temporal_valid"), (F.col("exists") & F.col("temporal_checked")).alias("temporal_checked"), when(F.col("temporal_reason"), yes).alias("temporal_reason"),
+        F.when(asked, F.coalesce("said", yes)).alias("llm_accurate"), asked.alias("llm_checked"), F.coalesce("landmark", F.lit(False)).alias("landmark"),
+    )
+
+
 def valid_input(text: Column, most: int = K.MAX_CHARS) -> Column:
     """Why a text is refused: 'empty' or 'too long'; null where it is taken."""
     return F.when(F.coalesce(F.length(F.regexp_replace(text, r"[ \t\n\r\f]+", "")), F.lit(0)) == 0, "empty").when(F.length(text) > most, "too long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +37,26 @@ def corrupt_year(year: Column, key: Column) -> Column:
     return F.greatest(F.lit(K.YEAR_RANGE[0]), F.least(F.lit(K.YEAR_RANGE[1]), year + F.element_at(shift, (F.pmod(key, F.lit(len(K.YEAR_SHIFTS))) + 1).cast("int"))))
 
 
-def corrupt_court(court: Column, key: Column) -> Column:
-    """Another federal court, chosen by the key."""
-    others = F.filter(F.array(*[F.lit(c) for c in K.FEDERAL_PREFIXES]), lambda c: c != F.coalesce(court, F.lit("")))
-    return F.element_at(others, (F.pmod(key, F.size(others)) + 1).cast("int"))
+def corrupt_court(court: Column, key: Column, courts: Column) -> Column:
+    """Another court of the same kind, chosen by the key: for a federal circuit another circuit, else another of `courts` (an array of the other courts), else any circuit."""
+    circuits = F.array(*[F.lit(c) for c in K.FEDERAL_PREFIXES])
+    now = F.coalesce(court, F.lit(""))
+    same = F.when(F.coalesce(X.is_federal(court), F.lit(False)), F.filter(circuits, lambda c: c != now)).otherwise(F.filter(courts, lambda c: c != now))
+    pick = lambda a: F.try_element_at(a, (F.pmod(key, F.greatest(F.size(a), F.lit(1))) + 1).cast("int"))
+    return F.coalesce(pick(same), pick(circuits))
 
 
-def corrupted(df: DataFrame, key: str, citation: str, year: str, court: str) -> DataFrame:
+def other_courts(df: DataFrame, court: str) -> DataFrame:
+    """One row `courts`: the courts of df that are no federal circuit, in order; as many as there are courts."""
+    plain = df.filter(F.col(court).isNotNull() & ~X.is_federal(F.col(court)))
+    return plain.agg(F.sort_array(F.collect_set(court)).alias("courts"))
+
+
+def corrupted(df: DataFrame, key: str, citation: str, year: str, court: str, courts: DataFrame) -> DataFrame:
     """(key, corrupted_citation, corruption_type): even keys get another year in brackets, odd ones another court in parentheses."""
-    k = F.col(key)
+    df, k = df.crossJoin(F.broadcast(courts)), F.col(key)
     y = F.concat(F.col(citation), F.lit(" ["), corrupt_year(F.col(year), k).cast("string"), F.lit("]"))
-    c = F.concat(F.col(citation), F.lit(" ("), corrupt_court(F.col(court), k), F.lit(")"))
+    c = F.concat(F.col(citation), F.lit(" ("), corrupt_court(F.col(court), k, F.col("courts")), F.lit(")"))
     even = (k % 2 == 0) & F.col(year).isNotNull()
     return df.select(key, F.when(even, y).otherwise(c).alias("corrupted_citation"), F.when(even, "year").otherwise("court").alias("corruption_type"))
 
@@ -75,12 +84,12 @@ def capped_sample(df: DataFrame, id_col: str, court: str, year: str, n: int, sha
     return placed.filter("taken").unionByName(more).drop("taken", "federal")
 
 
-def real_rows(pool: DataFrame, target: int, seed: int = 42) -> DataFrame:
+def real_rows(pool: DataFrame, target: int, reporters: Sequence[str] = tuple(K.REPORTERS), seed: int = 42) -> DataFrame:
     """(case_id, citation, context, court_id, year, place): clean citations in the pool's texts (case_id, plain_text, court_id, year), each once, where it first stands.
 
     case_id is the citing case. The window around the citation is its context. The first `target` by the order of their cases come out.
     """
-    c = C.extract(pool, "case_id", "plain_text").filter(C.is_clean_reporter(F.col("citation_string")))
+    c = C.extract(pool, "case_id", "plain_text", reporters).filter(C.is_clean_reporter(F.col("citation_string")))
     c = c.withColumn("at", order_key("case_id", seed)).groupBy("citation_string").agg(F.min(F.struct("at", "case_id", "pos")).alias("x"))
     c = c.select("x.at", "x.case_id", "x.pos", F.col("citation_string").alias("citation"))
     window = C.char_context(F.col("plain_text"), F.col("citation"), 300)
@@ -90,17 +99,17 @@ def real_rows(pool: DataFrame, target: int, seed: int = 42) -> DataFrame:
     return kept.select("case_id", "citation", "context", "court_id", "year", place.alias("place"))
 
 
-def benchmark(pool: DataFrame, target: int, write: Callable[[DataFrame, str, str, str, str], DataFrame], seed: int = 42) -> DataFrame:
+def benchmark(pool: DataFrame, target: int, write: Callable[[DataFrame, str, str, str, str], DataFrame], courts: DataFrame, reporters: Sequence[str] = tuple(K.REPORTERS), seed: int = 42) -> DataFrame:
     """A benchmark of four parts over a pool of texts, numbered in seeded order: real citations; half as many with another year or court
     (B); a quarter about which something else is said (B, proposition, suspicious); a third that nobody cites (A). write(df, kind, citation, context, out) is the language model.
     """
-    real = cut(real_rows(pool, target, seed))
+    real = cut(real_rows(pool, target, reporters, seed))
     text, null = "string", lambda t: F.lit(None).cast(t)
     base = ["case_id", "court_id", "year", "place"]
     a = real.select("citation", "context", F.lit("REAL").alias("label"), null(text).alias("subtype"), *base, null(text).alias("original_citation"), null(text).alias("corruption_type"))
-    half = real.filter((F.col("place") % 2 == 1) & F.col("year").isNotNull())
+    half = real.filter((F.col("place") % 2 == 1) & F.col("year").isNotNull()).crossJoin(F.broadcast(courts))
     by_year = F.floor(F.col("place") / 2) % 2 == 0
-    bent = F.when(by_year, F.concat("citation", F.lit(" ["), corrupt_year(F.col("year"), F.col("place")).cast(text), F.lit("]"))).otherwise(F.concat("citation", F.lit(" ("), corrupt_court(F.col("court_id"), F.col("place")), F.lit(")")))
+    bent = F.when(by_year, F.concat("citation", F.lit(" ["), corrupt_year(F.col("year"), F.col("place")).cast(text), F.lit("]"))).otherwise(F.concat("citation", F.lit(" ("), corrupt_court(F.col("court_id"), F.col("place"), F.col("courts")), F.lit(")")))
     b = half.select(bent.alias("citation"), "context", F.lit("HALLUCINATED").alias("label"), F.lit("B").alias("subtype"), *base, F.col("citation").alias("original_citation"), F.when(by_year, "year").otherwise("court").alias("corruption_type"))
     # What is said of a case is what the next row says of another one.
     said = real.select((F.col("place") - 1).alias("place"), F.col("context").alias("other"))

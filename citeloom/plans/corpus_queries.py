@@ -64,13 +64,6 @@ def stratified_sample(spark, sf):
     return S.stratified_sample(d.select("case_id", "stratum"), "case_id", "stratum", 100)
 
 
-def corrupt_citations(spark, sf):
-    """Every case's first citation, with its year or court changed."""
-    first = VQ.index(spark, sf).groupBy("case_id").agg(F.min("citation_string").alias("citation_string"))
-    d = first.join(V.nodes(spark, sf).select(F.col("id").alias("case_id"), "year", "court_id"), "case_id")
-    return S.corrupted(d, "case_id", "citation_string", "year", "court_id")
-
-
 def fill_citations(spark, sf):
     """Missing citation lists filled from the landmark and benchmark lookups."""
     look = table(spark, sf, "benchmark_items").filter("case_id is not null").groupBy("case_id").agg(F.min("citation").alias("value"))
@@ -131,26 +124,21 @@ def corpus_context(spark, sf):
     return h.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("context_lines"))
 
 
-_NAMES = "merge_batches embedding_upsert resume_anti semi_align stratified_sample corrupt_citations fill_citations map_rows overlay_centroid primary_doctrine projection cite_sizes landmark_presence expectations corpus_context".split()
+_NAMES = "merge_batches embedding_upsert resume_anti semi_align stratified_sample fill_citations map_rows overlay_centroid primary_doctrine projection cite_sizes landmark_presence expectations corpus_context".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _MAP = f"""{RQ.VEC}, {TQ.DOCTRINES_SQL}, de AS (SELECT case_id, unnest(string_split(doctrine_ids, ',')) AS d FROM doctrines), pd AS (SELECT case_id, min(d) AS primary_doctrine FROM de GROUP BY case_id),
 xy AS (SELECT case_id, round(avg(e[1]), 6) AS x, round(avg(e[2]), 6) AS y FROM vec WHERE case_id IS NOT NULL GROUP BY case_id),
 mp AS (SELECT xy.case_id, x, y, coalesce(name, 'Unknown') AS name, {TQ._LABEL.format(c='court_id')} AS circuit, coalesce(year, 0) AS year, coalesce(primary_doctrine, 'No doctrine') AS primary_doctrine FROM xy LEFT JOIN nodes ON nodes.id = xy.case_id LEFT JOIN pd ON pd.case_id = xy.case_id)"""
-_SH = "[" + ", ".join(map(str, K.YEAR_SHIFTS)) + "]"
-_FED = "[" + ", ".join(f"'{c}'" for c in K.FEDERAL_PREFIXES) + "]"
 ORACLES = {
     "merge_batches": "WITH r AS (SELECT strftime(fetched_at, '%Y') AS batch_year, row_number() OVER (PARTITION BY case_id ORDER BY strftime(fetched_at, '%Y'), row_id) = 1 AS first FROM cases_enriched WHERE case_id IS NOT NULL) SELECT batch_year, count(*) AS total, count_if(first) AS added, count_if(NOT first) AS duplicates FROM r GROUP BY batch_year",
-    "embedding_upsert": "WITH l AS (SELECT case_id, vec_id, chunk_index FROM embeddings_chunked WHERE case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY vec_id DESC) = 1) SELECT case_id, vec_id, chunk_index FROM l WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0",
+    "embedding_upsert": "SELECT case_id, vec_id, chunk_index FROM embeddings_chunked WHERE case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id, chunk_index ORDER BY embedded_at DESC NULLS LAST, vec_id DESC) = 1",
     "resume_anti": f"WITH {V.CASES} SELECT case_id FROM cases WHERE case_id NOT IN (SELECT case_id FROM embeddings_chunked WHERE case_id IS NOT NULL)",
     "semi_align": f"WITH {V.CASES}, t AS (SELECT case_id, CAST(len({TQ._CORPUS.replace('text', 'plain_text')}) AS INTEGER) AS n_tokens FROM cases WHERE case_id IN (SELECT case_id FROM embeddings_chunked)) SELECT * FROM t WHERE n_tokens >= {K.MIN_TOKENS}",
     "stratified_sample": f"""WITH {V.CASES}, d AS (SELECT case_id, substr(coalesce(substr(date_filed, 1, 4), 'none'), 1, 3) AS stratum FROM cases WHERE length(plain_text) > {K.MIN_CHARS} AND coalesce(substr(date_filed, 1, 4), '') <> '2026'),
       n AS (SELECT stratum, count(*) AS n FROM d GROUP BY stratum), q AS (SELECT stratum, n, CAST(round_even(n / (SELECT sum(n) FROM n)::DOUBLE * 100, 0) AS BIGINT) AS q FROM n),
       qq AS (SELECT stratum, q + CASE WHEN row_number() OVER (ORDER BY n DESC, stratum) = 1 THEN 100 - (SELECT sum(q) FROM q) ELSE 0 END AS quota FROM q),
       r AS (SELECT case_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY (case_id * 1103515245 + 42 * 12345) % 2147483647, case_id) AS r FROM d) SELECT case_id, stratum FROM r JOIN qq USING (stratum) WHERE r <= quota""",
-    "corrupt_citations": f"""WITH {V.NODES}, {VQ._INDEX}, f AS (SELECT case_id, min(citation_string) AS c FROM idx GROUP BY case_id), j AS (SELECT case_id, c, year, court_id FROM f JOIN nodes ON nodes.id = f.case_id),
-      o AS (SELECT *, list_filter({_FED}, lambda x: x <> coalesce(court_id, '')) AS others, case_id % 2 = 0 AND year IS NOT NULL AS even FROM j)
-      SELECT case_id, CASE WHEN even THEN c || ' [' || greatest({K.YEAR_RANGE[0]}, least({K.YEAR_RANGE[1]}, year + ({_SH})[CAST(case_id % 6 AS INTEGER) + 1])) || ']' ELSE c || ' (' || others[CAST(case_id % len(others) AS INTEGER) + 1] || ')' END AS corrupted_citation, CASE WHEN even THEN 'year' ELSE 'court' END AS corruption_type FROM o""",
     "fill_citations": f"WITH {V.CASES}, l AS (SELECT case_id, min(citation) AS v FROM benchmark_items WHERE case_id IS NOT NULL GROUP BY case_id) SELECT case_id, CASE WHEN citations IS NULL OR trim(citations) IN ('', '[]') THEN coalesce(v, citations) ELSE citations END AS citations FROM cases LEFT JOIN l USING (case_id)",
     "map_rows": f"WITH {V.NODES}, {_MAP} SELECT * FROM mp",
     "primary_doctrine": f"WITH {V.CASES}, {TQ.DOCTRINES_SQL}, de AS (SELECT case_id, unnest(string_split(doctrine_ids, ',')) AS d FROM doctrines) SELECT case_id, min(d) AS primary_doctrine, count(*) AS n FROM de GROUP BY case_id",

@@ -69,7 +69,7 @@ _STRATA = "label, subtype"
 
 
 def _strata():
-    return [F.col("label"), F.col("subtype")]
+    return ["label", "subtype"]
 
 
 def stratified_split(spark, sf):
@@ -163,8 +163,8 @@ _NAMES = (
     "label_counts verdict_counts suspicious_breakdown feature_stats trained_weights"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
-_SWEEP = f"""{Q.RAW}, sims AS (SELECT unnest({K.SIM_GRID}::DOUBLE[]) AS sim_cut, generate_subscripts({K.SIM_GRID}::DOUBLE[], 1) - 1 AS si), rrfs AS (SELECT unnest({K.RRF_GRID}::DOUBLE[]) AS rrf_cut, generate_subscripts({K.RRF_GRID}::DOUBLE[], 1) - 1 AS ri), dens AS (SELECT unnest({K.DENSITY_GRID}) AS density_cut, generate_subscripts({K.DENSITY_GRID}, 1) - 1 AS di),
-g AS (SELECT CAST(si * 30 + ri * 5 + di AS INTEGER) AS grid_idx, sim_cut, rrf_cut, CAST(density_cut AS INTEGER) AS density_cut FROM sims, rrfs, dens),
+_SWEEP = f"""{Q.RAW}, simc AS (SELECT unnest({K.SIM_GRID}::DOUBLE[]) AS sim_cut, generate_subscripts({K.SIM_GRID}::DOUBLE[], 1) - 1 AS si), rrfs AS (SELECT unnest({K.RRF_GRID}::DOUBLE[]) AS rrf_cut, generate_subscripts({K.RRF_GRID}::DOUBLE[], 1) - 1 AS ri), dens AS (SELECT unnest({K.DENSITY_GRID}) AS density_cut, generate_subscripts({K.DENSITY_GRID}, 1) - 1 AS di),
+g AS (SELECT CAST(si * 30 + ri * 5 + di AS INTEGER) AS grid_idx, sim_cut, rrf_cut, CAST(density_cut AS INTEGER) AS density_cut FROM simc, rrfs, dens),
 pr AS (SELECT g.*, label, CASE WHEN NOT "exists" THEN 'HALLUCINATED' WHEN meta_checked AND NOT metadata_valid THEN 'HALLUCINATED' WHEN llm_checked AND NOT llm_accurate THEN 'SUSPICIOUS'
   WHEN (rrf_score >= rrf_cut OR dense_score >= sim_cut) AND density_score >= density_cut THEN 'REAL' WHEN NOT (rrf_score >= rrf_cut OR dense_score >= sim_cut) AND NOT coalesce(density_score >= density_cut, false) THEN 'HALLUCINATED' ELSE 'SUSPICIOUS' END AS pred FROM raw, g),
 c AS (SELECT grid_idx, sim_cut, rrf_cut, density_cut, {_PT} FROM pr GROUP BY ALL), sw AS (SELECT *, {_RATES} FROM c)"""
@@ -185,7 +185,7 @@ ORACLES = {
     "calibration": f"WITH {_SCORED} SELECT CAST(least(floor(p * 5), 4) AS INTEGER) AS bucket, count(*) AS n, round_even(avg(CAST(y AS DOUBLE)), 4) AS rate FROM s GROUP BY 1",
     "roc_auc": f"WITH {_SCORED}, r AS (SELECT y, rank() OVER (ORDER BY round(p, 9)) + (count(*) OVER (PARTITION BY round(p, 9)) - 1) / 2.0 AS rk FROM s) SELECT round((sum(CASE WHEN y THEN rk ELSE 0 END) - count_if(y) * (count_if(y) + 1) / 2) / (count_if(y) * count_if(NOT y))::DOUBLE, 9) AS auc FROM r",
     "classification_report": f"WITH {_SCORED}, x AS (SELECT 'positive' AS class, p >= 0.5 AS pred, y AS t FROM s UNION ALL SELECT 'negative', NOT p >= 0.5, NOT y FROM s), c AS (SELECT class, {_CNT.format(p='pred', t='t')} FROM x GROUP BY class), r AS (SELECT *, {_RATES} FROM c) SELECT class, precision, recall, f1, tp + fn AS support FROM r",
-    "density_histogram": f"WITH {Q.RAW}, d AS (SELECT label AS series, CAST(density_score AS DOUBLE) AS x FROM raw WHERE density_score IS NOT NULL), e AS (SELECT series, min(x) AS lo, max(x) AS hi FROM d GROUP BY series) SELECT d.series AS series, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) * 20 / (hi - lo)), 19) END AS INTEGER) AS bin, count(*) AS n FROM d JOIN e ON d.series IS NOT DISTINCT FROM e.series GROUP BY 1, 2",
+    "density_histogram": f"WITH {Q.RAW}, ds AS (SELECT label AS series, CAST(density_score AS DOUBLE) AS x FROM raw WHERE density_score IS NOT NULL), e AS (SELECT series, min(x) AS lo, max(x) AS hi FROM ds GROUP BY series) SELECT ds.series AS series, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) * 20 / (hi - lo)), 19) END AS INTEGER) AS bin, count(*) AS n FROM ds JOIN e ON ds.series IS NOT DISTINCT FROM e.series GROUP BY 1, 2",
     "fn_fp_lists": f"WITH {Q.BENCH} SELECT CASE WHEN label = 'HALLUCINATED' THEN 'false_negative' ELSE 'false_positive' END AS kind, benchmark_id, label, pred FROM bench WHERE (label = 'HALLUCINATED' AND pred = 'REAL') OR (label = 'REAL' AND pred = 'HALLUCINATED')",
     "prediction_rows": f"WITH {Q.BENCH} SELECT benchmark_id, label, pred, label = pred AS correct FROM bench",
     "label_counts": "SELECT coalesce(label, 'none') AS label, coalesce(subtype, 'none') AS subtype, coalesce(corruption_type, 'none') AS corruption_type, count(*) AS n FROM benchmark_items GROUP BY ALL",

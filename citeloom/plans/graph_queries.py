@@ -90,7 +90,7 @@ _UNROLLED = 40
 
 def _pagerank_sql(rounds: int) -> str:
     """all_nodes and r0 .. r{rounds}; every round is kept, so that later ones don't compute it again."""
-    parts = ["deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY src)", "n AS (SELECT count(*) AS n FROM all_nodes)", "r0 AS MATERIALIZED (SELECT id, deg, CAST(1 AS DOUBLE) / n AS rank, CAST(1 AS DOUBLE) AS change FROM all_nodes CROSS JOIN n LEFT JOIN deg ON src = id)"]
+    parts = ["pdeg AS (SELECT src, count(*) AS deg FROM edges GROUP BY src)", "n AS (SELECT count(*) AS n FROM all_nodes)", "r0 AS MATERIALIZED (SELECT id, deg, CAST(1 AS DOUBLE) / n AS rank, CAST(1 AS DOUBLE) AS change FROM all_nodes CROSS JOIN n LEFT JOIN pdeg ON src = id)"]
     for k in range(1, rounds + 1):
         parts.append(
             f"r{k} AS MATERIALIZED (SELECT id, deg, rank, abs(rank - old) AS change FROM (SELECT a.id, a.deg, a.rank AS old, {1 - K.DAMPING!r} / n + {K.DAMPING} * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE deg IS NULL) / n) AS rank FROM r{k - 1} a CROSS JOIN n "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citeloom import constants as K
 from citeloom.functions import text as X
 from citeloom.operators import retrieval as R
+from citeloom.plans import semantic_views as S
 from citeloom.plans import views as V
 from citeloom.session import table
 
@@ -71,7 +72,7 @@ dl AS (SELECT id, len(t) AS dl FROM toks), post AS (SELECT id, term, count(*) AS
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs CROSS JOIN st), mi AS (SELECT avg(raw) AS m FROM raw),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw CROSS JOIN mi)"""
-_BMTOP = f"""{_BM}, qt AS (SELECT benchmark_id AS q, unnest(list_slice(list_filter(regexp_extract_all(lower(context), '[a-z]+'), lambda x: length(x) >= 2), 1, 12)) AS term FROM benchmark_items WHERE benchmark_id % 50 = 0 AND context IS NOT NULL),
+_BMTOP = f"""{_BM}, qt AS (SELECT benchmark_id AS q, unnest(list_filter(regexp_extract_all(lower(context), '[a-z]+'), lambda x: length(x) >= 2)) AS term FROM benchmark_items WHERE benchmark_id % 50 = 0 AND context IS NOT NULL),
 qf AS (SELECT q, term, count(*) AS qtf FROM qt GROUP BY q, term),
 sc AS (SELECT q, post.id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qf JOIN idf USING (term) JOIN post USING (term) JOIN dl ON dl.id = post.id CROSS JOIN st GROUP BY q, post.id),
 bm AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sc)"""
@@ -86,21 +87,19 @@ def bm25_topk(spark, sf):
     return R.Bm25(_tokens(spark, sf)).top(_text_queries(spark, sf), K.TOP_K).select("q", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def _dense_docs(spark, sf):
-    """Dense hits on documents: the cases nearest to a query's vector, by all documents that discuss them."""
-    v = _vectors(spark, sf).filter("case_id is not null")
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("q"), "embedding")
-    pooled = R.case_pool(R.nearest(q, v, 5 * K.TOP_K), v, K.TOP_K)
-    docs = table(spark, sf, "documents").filter("case_id is not null and text is not null").select("case_id", F.col("doc_id").alias("doc"))
-    hit = pooled.join(docs, "case_id").select("q", F.col("doc").alias("id"), "dense", F.col("rank").alias("r"))
-    from pyspark.sql.window import Window
-
-    return hit.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("r", "id")))
+def _contexts(spark, sf):
+    b = table(spark, sf, "benchmark_items").filter("benchmark_id % 50 = 0 and context is not null")
+    return b.select(F.col("benchmark_id").alias("q"), "context", "case_id")
 
 
 def _fused(spark, sf):
-    sparse = R.Bm25(_tokens(spark, sf)).top(_text_queries(spark, sf), K.TOP_K)
-    return R.fuse(_dense_docs(spark, sf).select("q", "id", "dense", "rank"), sparse, K.TOP_K)
+    """Both lists of the same query, a context: cases by their chunks' vectors and by their words."""
+    q = _contexts(spark, sf)
+    vec = S.usable(S.embedded(q, "context").select("q", "embedding"))
+    near = R.nearest(vec, S.chunk_vectors(spark, sf), 5 * K.TOP_K, others=False)
+    dense = R.case_pool(near, S.chunk_vectors(spark, sf), K.TOP_K).select("q", F.col("case_id").alias("id"), "dense", "rank")
+    sparse = S.sparse(spark, sf).top(q.select("q", X.query_tokens(F.col("context")).alias("tokens")), K.TOP_K)
+    return R.fuse(dense, sparse, K.TOP_K)
 
 
 def rrf_fuse(spark, sf):
@@ -108,27 +107,19 @@ def rrf_fuse(spark, sf):
 
 
 def top_matches(spark, sf):
-    """Fused matches with what is known of them; roundings half to even."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "case_id")
-    j = _fused(spark, sf).join(d, "id", "left")
-    return j.select("q", "id", "rank", F.coalesce("source", F.lit("Unknown")).alias("source"), "case_id", F.round("rrf", 6).alias("rrf"), F.round("dense", 4).alias("dense"), F.round("bm25", 4).alias("bm25"))
+    """Fused matches with what is known of the cases; roundings half to even."""
+    n = V.cases(spark, sf, "case_name", "court_id", "date_filed", "cite_count").select(F.col("case_id").alias("id"), "case_name", "court_id", "date_filed", "cite_count")
+    j = _fused(spark, sf).join(n, "id", "left")
+    return j.select("q", "id", "rank", "case_name", "court_id", "date_filed", "cite_count", F.bround("rrf", 6).alias("rrf"), F.bround(F.round("dense", 9), 4).alias("dense"), F.bround(F.round("bm25", 9), 4).alias("bm25"))
 
 
 def relevance(spark, sf):
-    cs = case_similarity(spark, sf)
-    best = _fused(spark, sf).groupBy("q").agg(F.max("rrf").alias("rrf"))
-    return cs.join(best, "q", "left").select("q", "case_sim", R.relevant(F.when(F.col("case_sim") > 0, F.col("case_sim")), F.col("rrf")).alias("relevant"))
+    """Whether each context bears on its case; where it has none, by the best fused rank."""
+    s = S.semantic(spark, sf)(_contexts(spark, sf))
+    return s.select("q", F.round("rrf_score", 9).alias("rrf_score"), F.round("dense_score", 6).alias("dense_score"), F.round("case_sim", 6).alias("case_sim"), "relevant")
 
 
-_FUSE = f"""WITH {_HITS}, pool AS (SELECT q, case_id, greatest(max(cosine), 0.0) AS dense FROM (SELECT q, id, case_id, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS r FROM hits WHERE case_id IS NOT NULL AND q IN (SELECT id FROM vec WHERE case_id IS NOT NULL)) WHERE r <= 25 GROUP BY q, case_id),
-pr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dense DESC, case_id) AS r FROM pool QUALIFY r <= 5),
-cd AS (SELECT case_id, min(doc_id) AS doc FROM documents WHERE case_id IS NOT NULL AND text IS NOT NULL GROUP BY case_id),
-den AS (SELECT q, doc AS id, dense, row_number() OVER (PARTITION BY q ORDER BY r, doc) AS rank FROM pr JOIN cd USING (case_id)),
-{_BMTOP}, spa AS (SELECT q, id, score, rank FROM bm WHERE rank <= 5),
-nd AS (SELECT q, count(*) AS nd FROM den GROUP BY q), ns AS (SELECT q, count(*) AS ns FROM spa GROUP BY q),
-fu AS (SELECT coalesce(d.q, s.q) AS q, coalesce(d.id, s.id) AS id, d.rank AS rd, s.rank AS rs, d.dense, s.score FROM den d FULL JOIN spa s ON s.q = d.q AND s.id = d.id),
-fr AS (SELECT q, id, 1.0::DOUBLE / (60 + coalesce(rd, coalesce(nd, 0) + 60)) + 1.0::DOUBLE / (60 + coalesce(rs, coalesce(ns, 0) + 60)) AS rrf, coalesce(dense, 0.0) AS dense, coalesce(score, 0.0) AS bm25 FROM fu LEFT JOIN nd USING (q) LEFT JOIN ns USING (q)),
-fused AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 12) DESC, id) AS rank FROM fr QUALIFY rank <= 5)"""
+_FUSE = f"""WITH RECURSIVE {V.CASES}, qs AS (SELECT benchmark_id AS q, context, case_id FROM benchmark_items WHERE benchmark_id % 50 = 0 AND context IS NOT NULL), {S.SQL}"""
 
 _NAMES = "l2_normalize cosine_topk chunk_maxpool case_similarity mean_pool vector_checks bm25_stats bm25_topk rrf_fuse top_matches relevance".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -144,5 +135,6 @@ ORACLES = {
     "bm25_stats": f"WITH {_BM} SELECT count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, round(avg(idf), 6) AS mean_idf, round(max(idf), 6) AS max_idf, (SELECT n FROM st) AS n_docs, round((SELECT avgdl FROM st), 6) AS avgdl FROM idf",
     "bm25_topk": f"WITH {_BMTOP} SELECT q, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 5",
     "rrf_fuse": f"{_FUSE} SELECT q, id, round(rrf, 9) AS rrf, CAST(rank AS INTEGER) AS rank FROM fused",
-    "top_matches": f"{_FUSE} SELECT q, f.id, CAST(rank AS INTEGER) AS rank, coalesce(source, 'Unknown') AS source, case_id, round(rrf, 6) AS rrf, round(dense, 4) AS dense, round(bm25, 4) AS bm25 FROM fused f LEFT JOIN documents ON doc_id = f.id",
+    "top_matches": f"{_FUSE} SELECT q, f.id, CAST(rank AS INTEGER) AS rank, case_name, court_id, date_filed, cite_count, round_even(rrf, 6) AS rrf, round_even(round(dense, 9), 4) AS dense, round_even(round(bm25, 9), 4) AS bm25 FROM fused f LEFT JOIN cases ON cases.case_id = f.id",
+    "relevance": f"{_FUSE} SELECT q, round(rrf_score, 9) AS rrf_score, round(dense_score, 6) AS dense_score, round(case_sim, 6) AS case_sim, relevant FROM sem",
 }

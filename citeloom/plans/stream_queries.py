@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as X
 from citeloom.plans import text_queries as TQ
 from citeloom.plans import verdict_queries as VQ
+from citeloom.plans import views as V
 from citeloom.sources import adapters
 from citeloom.streaming import incremental
 from citeloom.session import table
 
 
 def stream_citations(spark, sf):
-    return incremental.checked_now(spark, f"{sf}/documents.parquet", VQ.index(spark, sf)).select("doc_id", "citation_string", "case_id", "resolved")
+    known = VQ.index(spark, sf).select("citation_string", "case_id", "case_name")
+    service = VQ.lookup(spark, sf).groupBy("citation_string").agg(F.min("case_id").alias("case_id")).join(known, "citation_string", "left_anti").withColumn("case_name", F.lit(None).cast("string"))
+    return incremental.checked_now(spark, f"{sf}/documents.parquet", known.unionByName(service), V.REPORTERS).select("doc_id", "citation_string", "case_id", "resolved")
 
 
 def proposition_check(spark, sf):
@@ -31,5 +34,5 @@ def hashed_embeddings(spark, sf):
 
 QUERIES = {"stream_citations": stream_citations, "proposition_check": proposition_check, "hashed_embeddings": hashed_embeddings}
 ORACLES = {
-    "stream_citations": f"WITH {TQ._EXTRACT.split('parts AS')[0].strip().rstrip(',')}, m AS (SELECT DISTINCT doc_id, m AS citation_string FROM found), {VQ._INDEX} SELECT m.doc_id, m.citation_string, idx.case_id, idx.case_id IS NOT NULL AS resolved FROM m LEFT JOIN idx USING (citation_string)",
+    "stream_citations": f"WITH {TQ._EXTRACT.split('parts AS')[0].strip().rstrip(',')}, m AS (SELECT DISTINCT doc_id, m AS citation_string FROM found), {VQ._INDEX}, {VQ._LOOKUP}, res AS (SELECT citation_string, coalesce(i.case_id, l.case_id) AS case_id FROM idx i FULL JOIN look l USING (citation_string)) SELECT m.doc_id, m.citation_string, res.case_id, res.case_id IS NOT NULL AS resolved FROM m LEFT JOIN res USING (citation_string)",
 }

@@ -11,7 +11,7 @@ from citeloom.functions import text as X
 from citeloom.plans import views as V
 from citeloom.session import table
 
-_P = C.reporter_pattern()
+_P = C.reporter_pattern(V.REPORTERS)
 
 
 def _q(s: str) -> str:
@@ -27,7 +27,7 @@ def opinions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extract_citations(spark, sf):
-    return C.extract(docs(spark, sf), "doc_id", "text")
+    return C.extract(docs(spark, sf), "doc_id", "text", V.REPORTERS)
 
 
 _EXTRACT = f"""
@@ -145,7 +145,7 @@ def _sql_tokens(expr: str) -> str:
 
 _CORPUS = f"list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN {_IN(K.PRESERVED)} OR (x NOT IN {_IN(K.STOP_WORDS)} AND length(x) >= 2))"
 _QUERY = f"list_filter(regexp_extract_all(lower(substr(text, 1, 5000)), '[a-z]+'), lambda x: (x IN {_IN(K.PRESERVED)} OR x NOT IN {_IN(K.STOP_WORDS)}) AND length(x) > 1)"
-_WORDS = r"list_filter(regexp_split_to_array({c}, '[ \t\n\r\f]+'), lambda x: x <> '')"
+TOKENS_SQL = _WORDS = r"list_filter(regexp_split_to_array({c}, '[ \t\n\r\f]+'), lambda x: x <> '')"
 
 
 def classify_doctrines(spark, sf):
@@ -174,7 +174,7 @@ def paragraphs(spark, sf):
 
 
 def chunk_paragraphs(spark, sf):
-    d = opinions(spark, sf).select("row_id", F.posexplode(X.packed_chunks(X.paragraphs(F.col("plain_text")))).alias("chunk_index", "chunk"))
+    d = opinions(spark, sf).filter("plain_text is not null").select("row_id", F.posexplode(X.packed_chunks(X.paragraphs(F.col("plain_text")))).alias("chunk_index", "chunk"))
     return d.select("row_id", "chunk_index", "chunk")
 
 
@@ -253,7 +253,6 @@ ORACLES = {
     "cited_year": f"SELECT benchmark_id, TRY_CAST(regexp_extract(citation, {_q(C.YEAR)}, 1) AS INTEGER) AS cited_year_found FROM benchmark_items",
     "cited_court": f"WITH c AS (SELECT benchmark_id, {_COURT} AS court FROM benchmark_items) SELECT benchmark_id, court, {_LABEL.format(c='court')} AS label_text FROM c",
     "opinion_id": f"SELECT row_id, TRY_CAST(regexp_extract(opinions_cited, {_q(C.OPINION)}, 1) AS BIGINT) AS first_opinion FROM cases_enriched",
-    "parse_list": r"""SELECT row_id, CAST(json_array_length(citations) AS INTEGER) AS n_items, json_extract_string(citations, '$[0]') AS first_item FROM cases_enriched WHERE regexp_matches(citations, '^\["[^\\]*"\]$')""",
     "sentence_split": f"SELECT doc_id, CAST(generate_subscripts({_CTX}, 1) AS INTEGER) AS pos, unnest({_CTX}) AS sentence FROM documents WHERE text IS NOT NULL",
     "strip_headers": f"SELECT row_id, {_sql_headers('plain_text')} AS out_text FROM cases_enriched",
     "normalize_citations": f"SELECT row_id, {_sql_cites('plain_text')} AS out_text FROM cases_enriched",

@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom import constants as K
 from citeloom.functions import text as X
 from citeloom.session import table
 
+#: The reporters of the texts these queries are about, all invented, beside the known ones.
+REPORTERS = [
+    *K.REPORTERS,
+    "Vell. Rep.", "Vell. Rep. 2d", "Prov. Ct. R.", "App. Qm.", "App. Qm. 3d", "Ost. Ch.", "Q.M.L.R. 2d", "Lor. L.J.", "Sorrel App.", "Tams. § Dec.", "Harl. & T., N.S.", "Esk. 4th", "N.D.R.", "Dunvale's Ch.", "Rev. Céd.", "Cal. Rec., Ser. B", 'Q. "Red" Rep.',
+]
+
 #: The latest fetch of each case.
 CASES = "cases AS (SELECT * FROM cases_enriched WHERE case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY row_id DESC) = 1)"
 NODES = (

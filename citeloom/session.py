@@ -70,6 +70,11 @@ def _remove_written() -> None:
         pass
 
 
+def forget_at_exit(path: str) -> None:
+    """Have a folder removed when the program ends."""
+    _WRITTEN.append(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows as a compressed table in the shared folder and go on from there.
 
@@ -79,3 +84,18 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make):
+    """What `make` gives (a table, which is written, or an object that holds such tables), made once per application and key.
+
+    For results that several queries start from, as an index or raw scores; changed input calls for another session.
+    """
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _KEPT:
+        got = make()
+        _KEPT[k] = cut(got) if isinstance(got, DataFrame) else got
+    return _KEPT[k]

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from citeloom import constants as K
 from citeloom.functions import citations as C
 from citeloom.functions import text as X
-from citeloom.session import shared_dir
+from citeloom.session import forget_at_exit, shared_dir
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
@@ -22,11 +23,11 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, each: Callable[
     q.awaitTermination()
 
 
-def citation_stream(spark: SparkSession, path: str, index: DataFrame, schema: str = "doc_id bigint, text string, collected_at timestamp_ntz") -> DataFrame:
+def citation_stream(spark: SparkSession, path: str, index: DataFrame, reporters: Sequence[str] = tuple(K.REPORTERS), schema: str = "doc_id bigint, text string, collected_at timestamp_ntz") -> DataFrame:
     """Citations of arriving documents, resolved against a static index; stateless, so late rows are no matter."""
     path = f"{path[:-1]}[{path[-1]}]"  # as a pattern it may name a folder or a single file
     docs = spark.readStream.schema(schema).parquet(path).select("doc_id", "text")
-    p = C.reporter_pattern()
+    p = C.reporter_pattern(reporters)
     found = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))).alias("citation_string"))
     return found.join(index, "citation_string", "left").withColumn("resolved", F.col("case_id").isNotNull())
 
@@ -73,8 +74,9 @@ def cached(requests: DataFrame, key: str, compute: Callable[[str], str], ttl_ms:
     return requests.groupBy(key).applyInPandasWithState(update, f"{key} string, value string, hit boolean", "value string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def checked_now(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+def checked_now(spark: SparkSession, path: str, index: DataFrame, reporters: Sequence[str] = tuple(K.REPORTERS)) -> DataFrame:
     """The stream of documents run to its present end, as a table."""
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    run_available(citation_stream(spark, path, index), f"{base}/out", f"{base}/state")
+    forget_at_exit(base)
+    run_available(citation_stream(spark, path, index, reporters), f"{base}/out", f"{base}/state")
     return spark.read.schema("citation_string string, doc_id bigint, case_id bigint, case_name string, resolved boolean").parquet(f"{base}/out")

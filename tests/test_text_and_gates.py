@@ -138,7 +138,7 @@ def test_scorer_matches_newton(spark):
 
 def test_corruption_stays_in_range(spark):
     df = spark.createDataFrame([(i, f"{i} U.S. 1", 2024, "ca1") for i in range(40)], "k bigint, c string, y int, ct string")
-    for r in S.corrupted(df, "k", "c", "y", "ct").collect():
+    for r in S.corrupted(df, "k", "c", "y", "ct", spark.createDataFrame([(["dx"],)], "courts array<string>")).collect():
         assert ("[" in r["corrupted_citation"]) == (r["corruption_type"] == "year") and "(ca1)" not in r["corrupted_citation"]
 
 

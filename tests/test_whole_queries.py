@@ -2,33 +2,89 @@ import random
 
 import duckdb
 
+from citeloom.functions import text as X
+from citeloom.operators import gates as D
+from citeloom.operators import retrieval as R
 from citeloom.plans import retrieval_queries as Q
+from citeloom.plans import semantic_views as S
+from citeloom.sources import adapters
 
 
-def test_all_words_of_a_context_are_searched_and_all_documents_of_a_case_enter(spark, tmp_path):
-    rnd = random.Random(1)
+def test_all_words_of_a_context_are_searched(spark, tmp_path):
     words = " ".join(f"word{c}" for c in "abcdefghijkl")  # 12 words that no document has
     texts = {i: "plain text of some length about nothing" for i in range(1, 9)} | {5: "a zebra crossing in the text"}
-    docs = [(i, t, "web", 1 if i < 5 else 2 if i < 7 else None) for i, t in texts.items()]
-    spark.createDataFrame(docs, "doc_id bigint, text string, source string, case_id bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(50, words + " zebra"), (51, "text")], "benchmark_id bigint, context string").write.parquet(f"{tmp_path}/benchmark_items.parquet")
-    vec = [(i, 1 + i % 2, [rnd.gauss(0, 1) for _ in range(64)]) for i in (50, 51, 52, 53)]
-    spark.createDataFrame(vec, "vec_id bigint, case_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings_chunked.parquet")
-    sf = str(tmp_path)
-    assert [(r["q"], r["id"]) for r in Q.bm25_topk(spark, sf).collect()] == [(50, 5)]
-    dense = Q._dense_docs(spark, sf).collect()
-    assert sorted(r["id"] for r in dense) == [1, 2, 3, 4, 5, 6] and sorted(r["rank"] for r in dense) == [1, 2, 3, 4, 5, 6]
-    assert 5 in {r["id"] for r in Q.rrf_fuse(spark, sf).collect()}
+    assert [(r["q"], r["id"]) for r in Q.bm25_topk(spark, str(tmp_path)).collect()] == [(50, 5)]
 
 
 def test_scores_equal_sql_over_whole_contexts(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark_items"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    whole = Q._BMTOP.replace("list_slice(list_filter(regexp_extract_all(lower(context), '[a-z]+'), lambda x: length(x) >= 2), 1, 12)", "list_filter(regexp_extract_all(lower(context), '[a-z]+'), lambda x: length(x) >= 2)")
-    assert whole != Q._BMTOP
-    want = con.execute(f"WITH {whole} SELECT q, id, round(score, 6), rank FROM bm WHERE rank <= 5").fetchall()
+    want = con.execute(f"WITH {Q._BMTOP} SELECT q, id, round(score, 6), rank FROM bm WHERE rank <= 5").fetchall()
     got = [(r["q"], r["id"], r["score"], r["rank"]) for r in Q.bm25_topk(spark, sf).collect()]
     assert sorted((q, i, k) for q, i, _, k in got) == sorted((q, i, k) for q, i, _, k in want)
     scores = {(q, i): s for q, i, s, _ in want}
     assert all(abs(s - scores[q, i]) < 2e-6 for q, i, s, _ in got)
+
+
+def test_nearest_with_ties_copies_and_blocks(spark):
+    rnd = random.Random(2)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)] + [1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    got = {}
+    for r in R.nearest(df.filter("id % 7 = 0").withColumnRenamed("id", "q"), df, 4, 4, block=10).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["id"]))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    v = dict(rows)
+    assert len(got) == 43
+    for q, hits in got.items():
+        want = sorted((i for i in v if i != q), key=lambda i: (-round(cos(v[q], v[i]), 10), i))[:4]
+        assert [i for _, i in sorted(hits)] == want
+
+
+CASES = "row_id bigint, case_id bigint, case_name string, date_filed string, court_id string, citations string, plain_text string"
+DOCS = "doc_id bigint, text string"
+
+
+def small(spark, docs):
+    text = "The officer searched the car. " * 10
+    n = spark.createDataFrame([(1, "A v. B", 2001, "ca1", False, False), (2, "C v. D", 2002, "ca2", False, True), (3, "E v. F", 2003, "ca3", False, False)], "id bigint, name string, year int, court_id string, stub boolean, landmark boolean")
+    index = spark.createDataFrame([("1 U.S. 1", 1, "A v. B"), ("2 U.S. 2", 2, "C v. D"), ("1999 U.S. 3", 3, "E v. F"), ("9 U.S. 9", 99, "lost")], "citation_string string, case_id bigint, case_name string")
+    density = spark.createDataFrame([(1, 0), (2, 0), (3, 4)], "id bigint, density bigint")
+    chunks = S.usable(S.embedded(spark.createDataFrame([(1, 1, text), (2, 2, "nothing alike here at all")], "id bigint, case_id bigint, t string"), "t")).select("id", "case_id", "embedding")
+    sparse = R.Bm25(spark.createDataFrame([(1, text.lower().split()), (2, ["nothing"])], "id bigint, tokens array<string>"))
+    excerpts = spark.createDataFrame([(1, text), (2, "words of another sort")], "case_id bigint, excerpt string")
+    parts = D.Parts(semantic=lambda q: R.semantic(q, S.embedded, chunks, sparse), judge=lambda q: adapters.judged(q.join(excerpts, "case_id", "left"), "context", "excerpt", "gate"))
+    cites = spark.createDataFrame(docs, "doc_id bigint, pos int, citation_string string, context string")
+    return cites, index, n, density, parts
+
+
+def test_the_whole_check_gives_all_verdicts(spark):
+    same = "The officer searched the car."
+    docs = [(1, 1, "1 U.S. 1", same), (1, 2, "2 U.S. 2", "nothing alike here at all"), (1, 3, "1999 U.S. 3", same), (1, 4, "7 U.S. 7", same), (2, 1, "9 U.S. 9", same), (2, 2, "2 U.S. 2", same), (3, 1, "1 U.S. 1", None)]
+    cites, index, n, density, parts = small(spark, docs)
+    got = {(r["doc_id"], r["pos"]): r for r in D.check_citations(cites, index, n, density, 2026, parts=parts).collect()}
+    v = {k: r["verdict"] for k, r in got.items()}
+    assert v[1, 4] == v[2, 1] == "HALLUCINATED" and v[1, 3] == "HALLUCINATED"  # unknown; id without a node; a volume that reads as a wrong year
+    assert got[1, 1]["relevant"] and got[1, 1]["llm_checked"] and v[1, 1] == "SUSPICIOUS"  # relevant, but not connected
+    assert got[1, 2]["relevant"] and not got[1, 2]["llm_accurate"] and v[1, 2] == "SUSPICIOUS"  # the judge says no
+    assert v[2, 2] == "SUSPICIOUS" and not got[2, 2]["relevant"] and not got[2, 2]["llm_checked"]
+    assert got[3, 1]["case_sim"] == 0 and v[3, 1] == "SUSPICIOUS"  # nothing to judge by
+    density2 = spark.createDataFrame([(1, 2)], "id bigint, density bigint")
+    real = D.check_citations(cites, index, n, density2, 2026, parts=parts).filter("doc_id = 1 and pos = 1").first()
+    assert real["verdict"] == "REAL"
+
+
+def test_scorer_decides_where_no_gate_stops(spark):
+    cites, index, n, density, parts = small(spark, [(1, 1, "1 U.S. 1", "The officer searched the car."), (1, 2, "7 U.S. 7", None)])
+    for b, want in ((3.0, "HALLUCINATED"), (0.2, "SUSPICIOUS"), (-3.0, "REAL")):
+        parts.model = {"mean": [0.0] * 7, "scale": [1.0] * 7, "coef": [0.0] * 7, "intercept": b}
+        got = {r["pos"]: r for r in D.check_citations(cites, index, n, density, 2026, parts=parts).collect()}
+        assert got[1]["verdict"] == want and got[2]["p_hallucinated"] is None and got[2]["verdict"] == "HALLUCINATED"
+
+
+def test_refused_inputs(spark):
+    d = spark.createDataFrame([(1, None), (2, " \n"), (3, "x" * 11), (4, "fine")], DOCS)
+    assert {r["doc_id"]: r["r"] for r in d.select("doc_id", D.valid_input(X.F.col("text"), 10).alias("r")).collect()} == {1: "empty", 2: "empty", 3: "too long", 4: None}
