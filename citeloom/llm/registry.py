@@ -38,6 +38,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.repairs(table(spark, sf, "cases_enriched"))
 
 
+def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repaired_texts(table(spark, sf, "cases_enriched"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents"))
 
@@ -62,7 +66,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found,
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_found": p8_found,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
 }
 

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from citeloom.session import cut
 
-#: Word types counted this often or more in clean text need no candidates; candidates need LEAST.
-RARE, LEAST = 30, 3
+#: A candidate must occur LEAST times in clean text, and weigh, by channel and count, at least WEIGHT times the token itself: what is less likely no context makes up for.
+LEAST, WEIGHT = 3, 0.002
+#: Letters of the longest words there are, and readings of a token's beginning that are followed up.
+LONGEST, BEAM = 60, 3000
 #: What is read -> (what it may stand for, probability). Signs and digits within words always stand for something else.
 SIGNS = {
     "|": (("", 0.3), ("l", 0.2), ("i", 0.2)), "!": (("i", 0.7), ("l", 0.2)), "@": (("a", 0.95),), "0": (("o", 0.95),), "1": (("l", 0.5), ("i", 0.45)), "5": (("s", 0.95),), "6": (("b", 0.9), ("g", 0.05)),
@@ -180,29 +182,32 @@ def odd(t: str) -> bool:
 
 def candidates(t: str, most: int = 2) -> dict[str, float]:
     """Words that t may be a misreading of, with log-probabilities: all its signs and digits resolved, `most` letters at most misread."""
-    if len(t) > 40 or sum(c in SIGNS for c in t) > 6:
+    if sum(c not in SIGNS for c in t) > LONGEST:
         return {}
-    beam: dict[tuple[int, str, int], float] = {(0, "", 0): 0.0}
-    done: dict[str, float] = {}
     n = len(t)
+    beam: list[dict[tuple[str, int], float]] = [{} for _ in range(n + 1)]
+    beam[0]["", 0] = 0.0
     for i in range(n):
-        for (at, made, used), p in [x for x in beam.items() if x[0][0] == i]:
-            c = t[i]
-            steps = []
+        states = beam[i].items()
+        if len(states) > BEAM:
+            states = sorted(states, key=lambda x: -x[1])[:BEAM]
+        c = t[i]
+        for (made, used), p in states:
             if c in SIGNS:
-                steps += [(i + 1, r, q, used) for r, q in SIGNS[c]]
+                steps = [(i + 1, r, q, used) for r, q in SIGNS[c]]
             else:
-                steps.append((i + 1, c, 1.0, used))
+                steps = [(i + 1, c, 1.0, used)]
             if used < most:
                 for w in (1, 2, 3):
-                    for r, q in LETTERS.get(t[i : i + w], ()):
+                    for r, q in LETTERS.get(t[i : i + w], ()) if i + w <= n else ():
                         steps.append((i + w, r, q, used + 1))
             for j, r, q, u in steps:
-                k, v = (j, made + r, u), p + math.log(q)
-                if v > beam.get(k, -99.0):
-                    beam[k] = v
-            del beam[at, made, used]
-    for (_, made, _), p in beam.items():
+                k, v = (made + r, u), p + math.log(q)
+                if v > beam[j].get(k, -99.0):
+                    beam[j][k] = v
+        beam[i] = {}
+    done: dict[str, float] = {}
+    for (made, _), p in beam[n].items():
         if made != t and made and p > done.get(made, -99.0):
             done[made] = p
     return done
@@ -275,15 +280,16 @@ def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (t, c, p) of rare word types."""
+    """Candidates (t, own count of t, c, p) of word types."""
     for b in batches:
-        ts, cs, ps = [], [], []
-        for t in b.column(0).to_pylist():
+        ts, ns, cs, ps = [], [], [], []
+        for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for c, p in candidates(t).items():
                 ts.append(t)
+                ns.append(n)
                 cs.append(c)
                 ps.append(p)
-        yield pa.RecordBatch.from_arrays([pa.array(ts, pa.string()), pa.array(cs, pa.string()), pa.array(ps, pa.float64())], names=["t", "c", "p"])
+        yield pa.RecordBatch.from_arrays([pa.array(ts, pa.string()), pa.array(ns, pa.int64()), pa.array(cs, pa.string()), pa.array(ps, pa.float64())], names=["t", "own", "c", "p"])
 
 
 class Reader:
@@ -325,24 +331,31 @@ def _class(w: str) -> str:
     return "0" if w[0].isdigit() else w
 
 
-_DONE = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("repaired", pa.string()), ("u", pa.int64()), ("was", _S), ("words", pa.list_(_S)), ("logs", pa.list_(pa.list_(pa.float64()))), ("keys", _S)])
+_DONE = pa.schema([("id", pa.int64()), ("kind", pa.string()), ("repaired", pa.string()), ("u", pa.int64()), ("was", _S), ("words", pa.list_(_S)), ("logs", pa.list_(pa.list_(pa.float64()))), ("keys", _S), ("places", pa.list_(pa.int64()))])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each page settles by itself as (id, kind, repaired); stretches of lines with alternatives as (u, was, words, logs, keys)."""
+    """What each page settles by itself as (id, kind, repaired); stretches of lines with alternatives as (u, was, words, logs, keys).
+
+    places says which tokens are meant: line * 4096 + token. A page's settled tokens come as one row of kind 'at' with their words in was.
+    """
     for b in batches:
         out = []
         for i, furn, broken, lines, info in zip(*(c.to_pylist() for c in b.columns)):
             r, seq = Reader(info or []), 0
             settled = {("furniture", f) for f in furn if f} | {("hyphen", r.rejoin(x)) for x in broken}
-            for line in lines:
+            at_, put = [], []
+            for ln, line in enumerate(lines):
                 if not any(t in r.options or t[0] == "\t" for t in line):
                     continue
                 plain = [r.rejoin(t[1:]) if t[0] == "\t" else t for t in line]
                 opts = [[(p, 0.0)] if t[0] == "\t" else r.readings(t) if t in r.options else [(t, 0.0)] for t, p in zip(line, plain)]
-                for t, p, o in zip(line, plain, opts):
-                    if len(o) == 1 and o[0][0] != p and t[0] != "\t":
-                        settled.add(("char", o[0][0]))
+                for x, (t, p, o) in enumerate(zip(line, plain, opts)):
+                    if len(o) == 1 and (o[0][0] != p or t[0] == "\t"):
+                        at_.append(ln * 4096 + x)
+                        put.append(o[0][0])
+                        if t[0] != "\t":
+                            settled.add(("char", o[0][0]))
                 many = [len(o) > 1 for o in opts]
                 at = 0
                 while at < len(many):
@@ -356,9 +369,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seg = opts[lo:hi]
                     keys = {_class(w) for o in seg for w, _ in o}
                     keys.update(f"{_class(x)} {_class(y)}" for o, q in zip(seg, seg[1:]) for x, _ in o for y, _ in q)
-                    out.append((i, None, None, (i << 20) + seq, plain[lo:hi], [[w for w, _ in o] for o in seg], [[p for _, p in o] for o in seg], list(keys)))
+                    out.append((i, None, None, (i << 20) + seq, plain[lo:hi], [[w for w, _ in o] for o in seg], [[p for _, p in o] for o in seg], list(keys), [ln * 4096 + x for x in range(lo, hi)]))
                     seq, at = seq + 1, hi
-            out += [(i, kind, text, None, None, None, None, None) for kind, text in settled]
+            if at_:
+                out.append((i, "at", None, None, put, None, None, None, at_))
+            out += [(i, kind, text, None, None, None, None, None, None) for kind, text in settled]
         cols = list(zip(*out)) if out else [()] * len(_DONE)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _DONE)], schema=_DONE)
 
@@ -383,40 +398,138 @@ def decode(words: list[list[str]], logs: list[list[float]], count: dict[str, int
     return max(best.values(), key=lambda y: y[0])[1]
 
 
-def repairs(df: DataFrame, key: str = "row_id", text_col: str = "plain_text") -> DataFrame:
-    """(key, kind, repaired): the different repairs of each scanned text: hyphen, char, furniture.
+def _texts(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).filter("id is not null and t is not null and t <> ''")
 
-    Null, empty and unscanned texts give no row; repeated rows repeat their result once; texts are read whole; other
-    columns are ignored. A word without a known reading stays as it is.
-    """
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).filter("id is not null and t is not null and t <> ''")
+
+def _decoded(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What pages settle by themselves (see _read), and what the decoder changes: (id, place, word)."""
     both = cut(texts.mapInArrow(_split, "id bigint, furniture array<string>, broken array<string>, lines array<array<string>>, k string, n bigint"))
     grams = cut(both.filter("k is not null").groupBy("k").agg(F.sum("n").alias("n")))
     pages = both.filter("id is not null").drop("k", "n")
     held = cut(pages.select("id", "broken", "lines").mapInArrow(_types, "id bigint, t string, strange boolean, form boolean"))
     types = held.groupBy("t").agg(F.max("strange").alias("strange"), F.max("form").alias("form"))
-    types = cut(types.join(grams.withColumnRenamed("k", "t"), "t", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter((F.col("n") < RARE) | F.col("strange") | F.col("form")))
-    offers = types.filter(F.col("n") < RARE).select("t").mapInArrow(_offer, "t string, c string, p double")
+    types = cut(types.join(grams.withColumnRenamed("k", "t"), "t", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    offers = types.select("t", "n").mapInArrow(_offer, "t string, own bigint, c string, p double")
     counts = grams.filter((F.col("n") >= LEAST) & (F.instr("k", " ") == 0))
     # The planner takes a Python stage to be as small as its input; candidates are many times that and must not be broadcast.
-    known = offers.hint("merge").join(counts.withColumnRenamed("k", "c"), "c").groupBy("t").agg(F.collect_list(F.struct("c", "p", "n")).alias("cs"))
+    known = offers.hint("merge").join(counts.withColumnRenamed("k", "c"), "c").filter(F.exp("p") * F.col("n") >= WEIGHT * F.col("own"))
+    known = known.groupBy("t").agg(F.collect_list(F.struct("c", "p", "n")).alias("cs"))
     info = types.join(known, "t", "left").filter("cs is not null or strange or (form and n > 0)").select("t", "n", "cs")
     per = held.select("id", "t").join(info.hint("merge"), "t").groupBy("id").agg(F.collect_list(F.struct("t", "n", "cs")).alias("info"))
-    done = cut(pages.join(per, "id", "left").mapInArrow(_read, "id bigint, kind string, repaired string, u bigint, was array<string>, words array<array<string>>, logs array<array<double>>, keys array<string>"))
+    done = cut(pages.join(per, "id", "left").mapInArrow(_read, "id bigint, kind string, repaired string, u bigint, was array<string>, words array<array<string>>, logs array<array<double>>, keys array<string>, places array<bigint>"))
     open_ = done.filter("u is not null")
     asked = open_.select("u", F.explode("keys").alias("k")).join(grams, "k").groupBy("u").agg(F.collect_list(F.struct("k", "n")).alias("counts"))
     total = grams.filter("k = '#'").agg(F.sum("n")).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = [], []
-            for i, was, words, logs, counts in zip(*(c.to_pylist() for c in b.columns)):
-                for old, now in zip(was, decode(words, logs, {x["k"]: x["n"] for x in counts or ()}, total)):
+            ids, at, texts = [], [], []
+            for i, was, words, logs, places, counts in zip(*(c.to_pylist() for c in b.columns)):
+                for old, now, place in zip(was, decode(words, logs, {x["k"]: x["n"] for x in counts or ()}, total), places):
                     if old != now:
                         ids.append(i)
+                        at.append(place)
                         texts.append(now)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["char"] * len(ids), pa.string()), pa.array(texts, pa.string())], names=[key, "kind", "repaired"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(texts, pa.string())], names=["id", "place", "word"])
+
+    chosen = open_.join(asked, "u", "left").select("id", "was", "words", "logs", "places", "counts").mapInArrow(run, "id bigint, place bigint, word string")
+    return done.filter("u is null"), chosen
+
+
+def repairs(df: DataFrame, key: str = "row_id", text_col: str = "plain_text") -> DataFrame:
+    """(key, kind, repaired): the different repairs of each scanned text: hyphen, char, furniture.
+
+    Null, empty and unscanned texts give no row; repeated rows repeat their result once; texts are read whole; other
+    columns are ignored. A word without a known reading stays as it is.
+    """
+    settled, chosen = _decoded(_texts(df, key, text_col))
+    one = settled.filter("kind <> 'at'").select(F.col("id").alias(key), "kind", "repaired")
+    return one.unionByName(chosen.select(F.col("id").alias(key), F.lit("char").alias("kind"), F.col("word").alias("repaired"))).distinct()
+
+
+def _cased(old: str, new: str) -> str:
+    letters = [c for c in old if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return new.upper()
+    return new[:1].upper() + new[1:] if letters and letters[0].isupper() else new
+
+
+def _refit(raw: str, word: str) -> str:
+    """A token with its core replaced; what surrounds it stays, so does its case."""
+    left = raw[: len(raw) - len(raw.lstrip(_EDGE))]
+    bare = raw[len(left) :]
+    right = bare[len(bare.rstrip(_EDGE).rstrip("!")) :]
+    return left + _cased(bare[: len(bare) - len(right)], word) + right
+
+
+def rebuilt(text: str, fixes: dict[int, str]) -> str:
+    """The text as paragraphs: furniture gone, lines run on, broken words joined and misread ones put right (place -> word).
+
+    Blank lines part paragraphs, as does a deeper indent; not so where a page ends within a sentence.
+    """
+    lines = lines_of(text)
+    extra = furniture(lines)
+    kept = [(i, x) for i, x in enumerate(lines) if i not in extra and x.strip()]
+    paras: list[list[str]] = []
+    row, last, carry = -1, None, None
+    for i, line in kept:
+        toks = line.split()
+        between = range(last + 1, i) if last is not None else ()
+        if last is None:
+            fresh = True
+        else:
+            blank, page = any(not lines[x].strip() for x in between), any(x in extra for x in between)
+            end = (paras[-1] or [""])[-1].rstrip("\"'”’)]")
+            deeper = len(line) - len(line.lstrip()) >= 2 + len(lines[last]) - len(lines[last].lstrip())
+            fresh = (blank or deeper) and carry is None and not (page and (end[-1:] not in ".!?:" or toks[0][:1].islower()))
+        if fresh:
+            paras.append([])
+        out = paras[-1]
+        tail = None
+        if carry is not None:  # the line begins with the rest of a broken word
+            place, head = carry
+            joined_ = head.rstrip("-‐‑¬\xad") + toks[0]
+            out.append(_refit(joined_, fixes[place]) if place in fixes else joined_)
+            toks, carry = toks[1:], None
+        cores = [c for t in toks if (c := core(t))]
+        if cores or not toks:
+            row += bool(cores)
+        at = -1
+        for t in toks:
+            if core(t):
+                at += 1
+                tail = row * 4096 + at
+                place = tail
+                if place in fixes and t is toks[-1] and _BREAK.search(line):
+                    carry = (place, t)
+                    continue
+                out.append(_refit(t, fixes[place]) if place in fixes else t)
+            else:
+                out.append(t)
+        last = i
+    if carry is not None:
+        paras[-1].append(carry[1])
+    return "\n\n".join(" ".join(p) for p in paras if p)
+
+
+def repaired_texts(df: DataFrame, key: str = "row_id", text_col: str = "plain_text") -> DataFrame:
+    """(key, repaired_text): every scanned text as continuous, corrected paragraphs.
+
+    Null, empty and unscanned texts give no row; repeated rows give one each; texts of any length are rebuilt whole; other columns are ignored.
+    """
+    texts = _texts(df, key, text_col)
+    settled, chosen = _decoded(texts)
+    fixed = settled.filter("kind = 'at'").select("id", F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("was").alias("word"))).alias("x")).select("id", "x.*").unionByName(chosen)
+    fixes = fixed.groupBy("id").agg(F.collect_set(F.struct("place", "word")).alias("fixes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for i, t, f in zip(*(c.to_pylist() for c in b.columns)):
+                if scanned(t):
+                    ids.append(i)
+                    out.append(rebuilt(t, {x["place"]: x["word"] for x in f or ()}))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=[key, "repaired_text"])
 
-    chosen = open_.join(asked, "u", "left").select("id", "was", "words", "logs", "counts").mapInArrow(run, f"`{key}` bigint, kind string, repaired string")
-    settled = done.filter("u is null").select(F.col("id").alias(key), "kind", "repaired")
-    return settled.unionByName(chosen).distinct()
+    return texts.join(fixes, "id", "left").select("id", "t", "fixes").mapInArrow(run, f"`{key}` bigint, repaired_text string")

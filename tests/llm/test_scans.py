@@ -51,3 +51,23 @@ def test_page_furniture_spares_headings_and_text():
 def test_viterbi_prefers_what_the_corpus_writes():
     count = {"within": 10, "yards": 10, "0": 500, "within 0": 9, "0 yards": 9, "so": 5}
     assert S.decode([["within"], ["50", "so"], ["yards"]], [[0.0], [-0.7, -0.05], [0.0]], count, 10_000)[1] == "50"
+
+
+def test_texts_run_on_corrected(spark):
+    got = {r["row_id"]: r["repaired_text"] for r in S.repaired_texts(frame(spark).distinct()).collect()}
+    assert got == {1: (
+        "The officer opened the loading dock and the trial court granted the cross-examination transcript without a receipt at the grain elevator in 1946. "
+        "The hearing examiner saw a burner telephone within 50 yards of the house. The officer opened the loading dock and the trial court granted the transcript at the grain elevator. "
+        "The hearing warehouse saw a burner telephone within fifty yards of the house today."
+    )}
+    assert S.repaired_texts(frame(spark).limit(0)).count() == 0
+
+
+def test_long_tokens_and_many_signs_have_candidates_too():
+    long = "antidisestablishmentarianism" * 2
+    assert long in S.candidates(long.replace("i", "!", 7)) and long in S.candidates("·" * 30 + long)
+
+
+def test_paragraphs_survive_but_not_those_that_a_page_end_makes():
+    lines = ["The first paragraph of the text runs over two lines and it ends", "here.", "", "The second one is broken off by the end of the page where the", "", "Page 4 of 9", "", "next page goes on.", "", "   A third one."]
+    assert S.rebuilt("\n".join(lines), {}) == "The first paragraph of the text runs over two lines and it ends here.\n\nThe second one is broken off by the end of the page where the next page goes on.\n\nA third one."
