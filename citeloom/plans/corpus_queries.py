@@ -117,10 +117,10 @@ def expectations(spark, sf):
 
 
 def corpus_context(spark, sf):
-    """Numbered lines of a query's matches, as they go into a prompt."""
+    """Numbered lines of a query's matches with their likeness, as they go into a prompt."""
     n = V.nodes(spark, sf).select(F.col("id").alias("case_id"), "name", "court_id", "year")
     h = RQ.chunk_maxpool(spark, sf).join(n, "case_id", "left")
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("name", F.lit("Unknown")), F.lit(" ("), F.coalesce("court_id", F.lit("unknown")), F.lit(", "), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")), F.lit(")"))
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("name", F.lit("Unknown")), F.lit(" ("), F.coalesce("court_id", F.lit("unknown")), F.lit(", "), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")), F.lit(") — similarity score: "), F.format_string("%.4f", F.bround(F.round("dense", 6), 4)))
     return h.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("context_lines"))
 
 
@@ -148,6 +148,8 @@ ORACLES = {
       hp AS (SELECT q, case_id FROM pool QUALIFY row_number() OVER (PARTITION BY q ORDER BY dense DESC, case_id) <= 5), mid AS (SELECT q, avg(x) AS mx, avg(y) AS my FROM hp JOIN mp USING (case_id) GROUP BY q)
       SELECT v.id AS q, round(coalesce(mp.x, mx), 6) AS x, round(coalesce(mp.y, my), 6) AS y, CASE WHEN mp.x IS NOT NULL THEN 'own' WHEN mx IS NOT NULL THEN 'centroid' ELSE 'none' END AS placed_by
       FROM vec v LEFT JOIN mp ON mp.case_id = v.case_id LEFT JOIN mid ON mid.q = v.id WHERE v.id % 50 = 0""",
+    "corpus_context": f"""WITH {V.NODES}, {RQ._HITS}, pool AS (SELECT q, case_id, greatest(max(cosine), 0.0) AS dense FROM ranked WHERE rank <= 25 AND case_id IS NOT NULL GROUP BY q, case_id), pr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dense DESC, case_id) AS rank FROM pool QUALIFY rank <= 5)
+      SELECT q, string_agg(rank || '. ' || coalesce(name, 'Unknown') || ' (' || coalesce(court_id, 'unknown') || ', ' || coalesce(CAST(year AS VARCHAR), 'n.d.') || ') — similarity score: ' || format('{{:.4f}}', round_even(round(dense, 6), 4)), chr(10) ORDER BY rank) AS context_lines FROM pr LEFT JOIN nodes ON nodes.id = pr.case_id GROUP BY q""",
     "expectations": """WITH c AS (SELECT count_if(case_id IS NULL) AS null_id, count_if(case_name IS NULL) AS null_name, count_if(TRY_CAST(substr(date_filed, 1, 4) AS INTEGER) IS NULL) AS no_year, count_if(coalesce(length(plain_text), 0) <= 100) AS short_text, count(*) - count(DISTINCT row_id) AS repeated_row_id FROM cases_enriched)
       UNPIVOT c ON COLUMNS(*) INTO NAME check_name VALUE failures""",
 }

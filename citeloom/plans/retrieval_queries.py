@@ -113,6 +113,12 @@ def top_matches(spark, sf):
     return j.select("q", "id", "rank", "case_name", "court_id", "date_filed", "cite_count", F.bround("rrf", 6).alias("rrf"), F.bround(F.round("dense", 9), 4).alias("dense"), F.bround(F.round("bm25", 9), 4).alias("bm25"))
 
 
+def case_chunks(spark, sf):
+    """The packed chunks of every case's latest text."""
+    c = V.cases(spark, sf, "plain_text").filter("plain_text is not null")
+    return c.select("case_id", F.posexplode(X.packed_chunks(X.paragraphs(F.col("plain_text")))).alias("chunk_index", "chunk"))
+
+
 def relevance(spark, sf):
     """Whether each context bears on its case; where it has none, by the best fused rank."""
     s = S.semantic(spark, sf)(_contexts(spark, sf))
@@ -121,7 +127,7 @@ def relevance(spark, sf):
 
 _FUSE = f"""WITH RECURSIVE {V.CASES}, qs AS (SELECT benchmark_id AS q, context, case_id FROM benchmark_items WHERE benchmark_id % 50 = 0 AND context IS NOT NULL), {S.SQL}"""
 
-_NAMES = "l2_normalize cosine_topk chunk_maxpool case_similarity mean_pool vector_checks bm25_stats bm25_topk rrf_fuse top_matches relevance".split()
+_NAMES = "l2_normalize cosine_topk chunk_maxpool case_similarity mean_pool vector_checks bm25_stats bm25_topk rrf_fuse top_matches case_chunks relevance".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLES = {
     "l2_normalize": f"WITH {VEC} SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first_value FROM vec",
@@ -136,5 +142,6 @@ ORACLES = {
     "bm25_topk": f"WITH {_BMTOP} SELECT q, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 5",
     "rrf_fuse": f"{_FUSE} SELECT q, id, round(rrf, 9) AS rrf, CAST(rank AS INTEGER) AS rank FROM fused",
     "top_matches": f"{_FUSE} SELECT q, f.id, CAST(rank AS INTEGER) AS rank, case_name, court_id, date_filed, cite_count, round_even(rrf, 6) AS rrf, round_even(round(dense, 9), 4) AS dense, round_even(round(bm25, 9), 4) AS bm25 FROM fused f LEFT JOIN cases ON cases.case_id = f.id",
+    "case_chunks": f"WITH RECURSIVE {V.CASES}, {S.CHUNKS} SELECT case_id, CAST(k AS INTEGER) AS chunk_index, chunk FROM chunks",
     "relevance": f"{_FUSE} SELECT q, round(rrf_score, 9) AS rrf_score, round(dense_score, 6) AS dense_score, round(case_sim, 6) AS case_sim, relevant FROM sem",
 }

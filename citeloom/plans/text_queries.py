@@ -60,11 +60,6 @@ def cited_year(spark, sf):
     return b.select("benchmark_id", C.cited_year(F.col("citation")).alias("cited_year_found"))
 
 
-def cited_court(spark, sf):
-    b = table(spark, sf, "benchmark_items")
-    return b.select("benchmark_id", C.cited_court(F.col("citation")).alias("court"), X.circuit_label(C.cited_court(F.col("citation"))).alias("label_text"))
-
-
 _ALIAS = "CASE " + " ".join(f"WHEN contains(lower(citation), {_q(a)}) THEN {_q(c)}" for c, names in K.COURT_ALIASES.items() for a in names) + " END"
 _COURT = f"coalesce(nullif(regexp_extract(trim(lower(citation)), {_q(C.COURT)}, 1), ''), {_ALIAS})"
 _LABEL = "CASE lower({c}) " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in K.CIRCUIT_LABELS.items()) + " ELSE 'State/Other' END"
@@ -201,14 +196,6 @@ def year_from_date(spark, sf):
     return table(spark, sf, "cases_enriched").select("row_id", X.year_of(F.col("date_filed")).alias("year"))
 
 
-def clean_reporter(spark, sf):
-    return table(spark, sf, "benchmark_items").select("benchmark_id", F.coalesce(C.is_clean_reporter(F.col("citation")), F.lit(False)).alias("clean"))
-
-
-def circuit_label(spark, sf):
-    return table(spark, sf, "cases_enriched").groupBy(X.circuit_label(F.col("court_id")).alias("circuit"), F.coalesce(X.is_federal(F.col("court_id")), F.lit(False)).alias("federal")).agg(F.count("*").alias("n"))
-
-
 def md5_dedup(spark, sf):
     d = docs(spark, sf).filter("text is not null").select("doc_id", X.text_hash(F.col("text")).alias("h"))
     return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -224,19 +211,21 @@ def search_links(spark, sf):
 
 def prompts(spark, sf):
     b = table(spark, sf, "benchmark_items")
-    p = F.concat(F.lit("Citation: "), F.coalesce("citation", F.lit("unknown")), F.lit("\nProposition: "), F.substring(F.coalesce("context", F.lit("")), 1, 400))
+    p = F.concat(F.lit("Citation: "), F.coalesce("citation", F.lit("unknown")), F.lit("\nProposition: "), F.coalesce("context", F.lit("")))
     return b.select("benchmark_id", p.alias("prompt"))
 
 
 def fenced_replies(spark, sf):
     reply = F.concat(F.lit('```json\n{"accurate": '), F.when(F.col("label") == "REAL", "true").otherwise("false"), F.lit("}\n```"))
+    # Fenced, bare and broken replies in turn; what is no JSON gives null.
+    reply = F.when(F.col("benchmark_id") % 3 == 0, F.regexp_replace(reply, "```(json)?", "")).when(F.col("benchmark_id") % 7 == 0, F.lit("I think it is accurate.")).otherwise(reply)
     r = table(spark, sf, "benchmark_items").select("benchmark_id", F.from_json(X.fenced_json(reply), "accurate boolean").alias("r"))
     return r.select("benchmark_id", F.col("r.accurate").alias("accurate"))
 
 
 _NAMES = [
-    "extract_citations", "citation_context", "char_window", "party_names", "cited_year", "cited_court", "opinion_id", "parse_list", "sentence_split", "strip_headers", "normalize_citations", "normalize_ws", "fix_encoding", "clean_opinions", "strip_html",
-    "tokenize_corpus", "tokenize_query", "tokenize_landmark", "classify_doctrines", "doctrine_dim", "paragraphs", "chunk_paragraphs", "truncate_words", "prune_kept", "prune_dropped", "text_presence", "year_from_date", "clean_reporter", "circuit_label",
+    "extract_citations", "citation_context", "char_window", "party_names", "cited_year", "opinion_id", "parse_list", "sentence_split", "strip_headers", "normalize_citations", "normalize_ws", "fix_encoding", "clean_opinions", "strip_html",
+    "tokenize_corpus", "tokenize_query", "tokenize_landmark", "classify_doctrines", "doctrine_dim", "paragraphs", "chunk_paragraphs", "truncate_words", "prune_kept", "prune_dropped", "text_presence", "year_from_date",
     "md5_dedup", "word_token_estimate", "search_links", "prompts", "fenced_replies",
 ]
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -251,7 +240,6 @@ ORACLES = {
       SELECT doc_id, pos, CASE WHEN place > 0 THEN substr(text, greatest(place - 300, 1), place + length(cs) + 300 - greatest(place - 300, 1)) END AS window_text FROM j""",
     "party_names": f"SELECT check_id, trim(nullif(regexp_extract(trim(cited_name), {_q(C.PARTY)}, 1), '')) AS parties FROM name_checks",
     "cited_year": f"SELECT benchmark_id, TRY_CAST(regexp_extract(citation, {_q(C.YEAR)}, 1) AS INTEGER) AS cited_year_found FROM benchmark_items",
-    "cited_court": f"WITH c AS (SELECT benchmark_id, {_COURT} AS court FROM benchmark_items) SELECT benchmark_id, court, {_LABEL.format(c='court')} AS label_text FROM c",
     "opinion_id": f"SELECT row_id, TRY_CAST(regexp_extract(opinions_cited, {_q(C.OPINION)}, 1) AS BIGINT) AS first_opinion FROM cases_enriched",
     "sentence_split": f"SELECT doc_id, CAST(generate_subscripts({_CTX}, 1) AS INTEGER) AS pos, unnest({_CTX}) AS sentence FROM documents WHERE text IS NOT NULL",
     "strip_headers": f"SELECT row_id, {_sql_headers('plain_text')} AS out_text FROM cases_enriched",
@@ -274,10 +262,9 @@ ORACLES = {
     "prune_dropped": f"SELECT row_id, CAST(length(plain_text) AS INTEGER) AS n_chars FROM cases_enriched WHERE plain_text IS NULL OR length(plain_text) < {K.MIN_CHARS}",
     "text_presence": """SELECT CASE WHEN length(trim(plain_text)) > 0 AND length(trim(citations)) > 0 THEN 'both' WHEN length(trim(plain_text)) > 0 THEN 'plain' WHEN length(trim(citations)) > 0 THEN 'citations' ELSE 'neither' END AS kind, count(*) AS n FROM cases_enriched GROUP BY 1""",
     "year_from_date": "SELECT row_id, TRY_CAST(substr(date_filed, 1, 4) AS INTEGER) AS year FROM cases_enriched",
-    "clean_reporter": f"SELECT benchmark_id, coalesce(regexp_matches(citation, {_q(C.CLEAN_REPORTER)}), false) AS clean FROM benchmark_items",
-    "circuit_label": f"SELECT {_LABEL.format(c='court_id')} AS circuit, coalesce({' OR '.join(f'starts_with(court_id, {_q(p)})' for p in K.FEDERAL_PREFIXES)}, false) AS federal, count(*) AS n FROM cases_enriched GROUP BY 1, 2",
     "md5_dedup": "SELECT md5(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "word_token_estimate": f"WITH w AS (SELECT row_id, CAST(len({_WORDS.format(c='plain_text')}) AS INTEGER) AS n FROM cases_enriched WHERE plain_text IS NOT NULL) SELECT row_id, n AS n_words, CAST(floor(n * 0.75) AS BIGINT) AS n_tokens FROM w",
-    "prompts": "SELECT benchmark_id, 'Citation: ' || coalesce(citation, 'unknown') || chr(10) || 'Proposition: ' || substr(coalesce(context, ''), 1, 400) AS prompt FROM benchmark_items",
-    "fenced_replies": "SELECT benchmark_id, coalesce(label = 'REAL', false) AS accurate FROM benchmark_items",
+    "search_links": "SELECT check_id, CASE WHEN length(cited_name) > 40 THEN substr(cited_name, 1, 37) || '...' ELSE cited_name END AS short_name, replace(replace(replace(url_encode(cited_name), '%20', '+'), '%2A', '*'), '~', '%7E') AS q FROM name_checks WHERE cited_name IS NOT NULL",
+    "prompts": "SELECT benchmark_id, 'Citation: ' || coalesce(citation, 'unknown') || chr(10) || 'Proposition: ' || coalesce(context, '') AS prompt FROM benchmark_items",
+    "fenced_replies": "SELECT benchmark_id, CASE WHEN benchmark_id % 3 <> 0 AND benchmark_id % 7 = 0 THEN NULL ELSE coalesce(label = 'REAL', false) END AS accurate FROM benchmark_items",
 }

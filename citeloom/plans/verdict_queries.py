@@ -147,6 +147,26 @@ def check_counts(spark, sf):
     return documents_checked(spark, sf).groupBy("doc_id").agg(F.count("*").alias("citation_count"), *[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("REAL", "SUSPICIOUS", "HALLUCINATED")])
 
 
+def cited_court(spark, sf):
+    """Courts named by the benchmark's citations and by those written with another court."""
+    own = table(spark, sf, "benchmark_items").select(F.lit("benchmark").alias("origin"), F.col("benchmark_id").alias("id"), "citation")
+    bent = corrupt_citations(spark, sf).select(F.lit("corrupted").alias("origin"), F.col("case_id").alias("id"), F.col("corrupted_citation").alias("citation"))
+    court = C.cited_court(F.col("citation"))
+    return own.unionByName(bent).select("origin", "id", court.alias("court"), X.circuit_label(court).alias("label_text"))
+
+
+def circuit_label(spark, sf):
+    """Courts of the corpus, and federal circuits as a lookup has them, by label and kind."""
+    given = spark.createDataFrame([(c,) for c in [*K.CIRCUIT_LABELS, "CA9", "nysd"]], "court_id string")
+    all_ = table(spark, sf, "cases_enriched").select("court_id").unionByName(given)
+    return all_.groupBy(X.circuit_label(F.col("court_id")).alias("circuit"), F.coalesce(X.is_federal(F.col("court_id")), F.lit(False)).alias("federal")).agg(F.count("*").alias("n"))
+
+
+def clean_reporter(spark, sf):
+    """Which of the documents' citations are of a plain reporter."""
+    return TQ.extract_citations(spark, sf).select("doc_id", "pos", "citation_string", C.is_clean_reporter(F.col("citation_string")).alias("clean"))
+
+
 def refused_inputs(spark, sf):
     """Texts that the check doesn't take, and why."""
     d = TQ.docs(spark, sf).select("doc_id", D.valid_input(F.col("text"), 2000).alias("refused"))  # a low limit, so that both reasons occur
@@ -261,7 +281,11 @@ parts4 AS (SELECT citation, context, 'REAL' AS label, NULL::VARCHAR AS subtype,
  UNION ALL SELECT fake, context || ' See ' || fake || '.', 'HALLUCINATED', 'A', NULL, court_id, year, place, NULL, NULL FROM (SELECT *, regexp_replace(citation, '^[0-9]+', '9' || lpad(CAST(place % 1000 AS VARCHAR), 3, '0')) AS fake FROM real_rows WHERE place % 3 = 0)),
 bm AS (SELECT CAST(row_number() OVER (ORDER BY (place * 1103515245 + 42 * 12345) % 2147483647, label, coalesce(corruption_type, ''), citation) - 1 AS BIGINT) AS benchmark_id, * EXCLUDE (place) FROM parts4)"""
 _MADE = f"RECURSIVE {GQ._ALL}, {_BENCHMARK}"
-_INDEL = """(SELECT 2.0::DOUBLE * (length(a) - bit_count(list_reduce(list_prepend(((1::HUGEINT << length(a)) - 1)::HUGEINT, list_transform(string_split(b, ''), lambda c: coalesce(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = c THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0::HUGEINT END)), 0)::HUGEINT)), lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::HUGEINT << length(a)) - 1)))) / (length(a) + length(b)))"""
+_KEY_SQL = r"array_to_string(list_sort(list_filter(regexp_split_to_array(lower(replace({c}, chr(304), 'i' || chr(775))), '[ \t\n\r\f]+'), lambda x: x <> '')), ' ')"
+_FULL = "((1::HUGEINT << length(a)::INTEGER) - 1)"
+#: The length of the longest common subsequence of a and b, by bits: one reduction over the characters of b.
+_INDEL = f"""2.0::DOUBLE * (length(a) - bit_count(list_reduce(list_prepend({_FULL}, list_transform(string_split(b, ''), lambda c: coalesce(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = c THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0::HUGEINT END)), 0)::HUGEINT)),
+ lambda s, m: ((s + (s & m)) | (s - (s & m))) & {_FULL}))) / greatest(1, length(a) + length(b))"""
 #: Raw scores of the made benchmark, as raw.
 RAW = f"""{_MADE}, d AS ({GQ._DENSITY}), {GQ._CONVERGED}, e0 AS (SELECT b.*, n.id IS NOT NULL AS "exists", n.year AS actual_year, n.court_id AS actual_court, n.name AS node_name, coalesce(n.landmark, false) AS landmark, coalesce(d.density, 0) AS density, ranks.rank,
   TRY_CAST(regexp_extract(citation, {TQ._q(C.YEAR)}, 1) AS INTEGER) AS cited_year, {TQ._COURT} AS cited_court FROM bm b LEFT JOIN nodes n ON n.id = b.case_id LEFT JOIN d ON d.id = b.case_id LEFT JOIN ranks ON ranks.id = b.case_id),
@@ -295,7 +319,7 @@ def name_gate(spark, sf):
 
 
 def token_sort_key(spark, sf):
-    return table(spark, sf, "name_checks").select("check_id", D.token_sort_key(F.translate("cited_name", "İ", "I")).alias("k"))
+    return table(spark, sf, "name_checks").select("check_id", D.token_sort_key(F.col("cited_name")).alias("k"))
 
 
 def verdict_online(spark, sf):
@@ -391,7 +415,7 @@ def _response_sql(source: str, sem: bool) -> str:
 
 _GATE = f"g AS (SELECT benchmark_id, TRY_CAST(regexp_extract(citation, {TQ._q(C.YEAR)}, 1) AS INTEGER) AS cy, {TQ._COURT} AS cc, n.year, n.court_id FROM benchmark_items b LEFT JOIN nodes n ON n.id = b.case_id)"
 
-_NAMES = "check_references reference_response resolve_index check_documents check_counts existence metadata_gate temporal_gate name_gate token_sort_key verdict_online verdict_bench scorer_score scorer_breakdown response_struct refused_inputs graphable case_relevance corrupt_citations capped_sample generated_benchmark appended_benchmark raw_scores".split()
+_NAMES = "check_references reference_response resolve_index check_documents check_counts existence metadata_gate temporal_gate name_gate token_sort_key verdict_online verdict_bench scorer_score scorer_breakdown response_struct refused_inputs graphable case_relevance corrupt_citations capped_sample generated_benchmark appended_benchmark raw_scores cited_court circuit_label clean_reporter".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLES = {
     "resolve_index": f"WITH {_INDEX} SELECT citation_string, case_id, case_name FROM idx",
@@ -403,6 +427,9 @@ ORACLES = {
     "capped_sample": f"WITH {V.NODES}, {_sample_sql(100)} SELECT case_id, court_id, year FROM pool_rows",
     "generated_benchmark": f"WITH {_MADE} SELECT * FROM bm",
     "appended_benchmark": f"WITH {_MADE}, o AS (SELECT max(benchmark_id) AS last FROM benchmark_items) SELECT benchmark_id, citation, label FROM benchmark_items UNION ALL SELECT last + row_number() OVER (ORDER BY benchmark_id), citation, label FROM bm, o WHERE citation NOT IN (SELECT citation FROM benchmark_items)",
+    "cited_court": f"WITH {GQ._EN}, {_INDEX}, {CORRUPT}, al AS (SELECT 'benchmark' AS origin, benchmark_id AS id, citation FROM benchmark_items UNION ALL SELECT 'corrupted', case_id, corrupted_citation FROM bent), c AS (SELECT origin, id, {TQ._COURT} AS court FROM al) SELECT origin, id, court, {TQ._LABEL.format(c='court')} AS label_text FROM c",
+    "circuit_label": f"WITH al AS (SELECT court_id FROM cases_enriched UNION ALL SELECT unnest([{', '.join(TQ._q(c) for c in [*K.CIRCUIT_LABELS, 'CA9', 'nysd'])}])) SELECT {TQ._LABEL.format(c='court_id')} AS circuit, {_IS_FED.format(c='court_id')} AS federal, count(*) AS n FROM al GROUP BY 1, 2",
+    "clean_reporter": f"WITH {TQ._EXTRACT} SELECT doc_id, pos, citation_string, regexp_matches(citation_string, {TQ._q(C.CLEAN_REPORTER)}) AS clean FROM cites",
     "raw_scores": f"WITH {RAW} SELECT * REPLACE (round(rrf_score, 9) AS rrf_score, round(dense_score, 6) AS dense_score, round(case_sim, 6) AS case_sim, round(pagerank_score, 9) AS pagerank_score) FROM raw",
     "check_references": f"{_CHECK_REF} SELECT {', '.join(chr(34) + c + chr(34) for c in _COLS)} FROM v",
     "check_counts": f"{_CHECK} SELECT doc_id, count(*) AS citation_count, count_if(verdict = 'REAL') AS real, count_if(verdict = 'SUSPICIOUS') AS suspicious, count_if(verdict = 'HALLUCINATED') AS hallucinated FROM v GROUP BY doc_id",
@@ -411,7 +438,9 @@ ORACLES = {
       SELECT benchmark_id, CASE WHEN ch THEN cy = year END AS year_match, CASE WHEN ch THEN lower(cc) = lower(court_id) END AS court_match, ch AS meta_checked, CASE WHEN ch THEN coalesce(cy = year, true) AND coalesce(lower(cc) = lower(court_id), true) ELSE true END AS meta_valid FROM c""",
     "temporal_gate": f"""WITH {V.NODES}, {_GATE}, r AS (SELECT benchmark_id, cy IS NOT NULL OR year IS NOT NULL AS temporal_checked, CASE WHEN cy IS NULL AND year IS NULL THEN 'unchecked' WHEN cy > 2015 THEN 'future_citation' WHEN cy < year THEN 'year_inversion' ELSE 'ok' END AS temporal_reason FROM g)
       SELECT benchmark_id, temporal_checked, temporal_reason NOT IN ('future_citation', 'year_inversion') AS temporal_valid, temporal_reason FROM r""",
-    "token_sort_key": r"SELECT check_id, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(translate(cited_name, 'İ', 'I')), '[ \t\n\r\f]+'), lambda x: x <> '')), ' ') AS k FROM name_checks",
+    "token_sort_key": f"SELECT check_id, {_KEY_SQL.format(c='cited_name')} AS k FROM name_checks",
+    "name_gate": f"""WITH k AS (SELECT check_id, {_KEY_SQL.format(c='cited_name')} AS a, {_KEY_SQL.format(c='node_name')} AS b FROM name_checks), s AS (SELECT check_id, a IS NOT NULL AND b IS NOT NULL AS both_there, CASE WHEN a = b THEN 1.0::DOUBLE ELSE {_INDEL} END AS s FROM k)
+      SELECT check_id, both_there AS name_checked, CASE WHEN both_there THEN s >= {K.NAME_CUT} ELSE true END AS name_valid, CASE WHEN both_there THEN round_even(s, 3) ELSE 1.0 END AS name_score FROM s""",
     "verdict_online": f"""WITH {RAW}, p AS (SELECT *, CASE WHEN benchmark_id % 2 = 0 THEN {_PROB} END AS p FROM raw)
       SELECT benchmark_id, CASE WHEN NOT "exists" THEN 'HALLUCINATED' WHEN meta_checked AND NOT metadata_valid THEN 'HALLUCINATED' WHEN llm_checked AND NOT llm_accurate THEN 'SUSPICIOUS' WHEN p >= 0.7 THEN 'HALLUCINATED' WHEN p >= 0.4 THEN 'SUSPICIOUS' WHEN p IS NOT NULL THEN 'REAL'
       WHEN round(coalesce(case_sim, 0), 9) >= 0.8::DOUBLE AND (landmark OR coalesce(density_score, 0) >= 1) AND coalesce(temporal_valid, true) THEN 'REAL' ELSE 'SUSPICIOUS' END AS verdict FROM p""",
