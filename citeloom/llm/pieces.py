@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ KINDS = ("char", "word", "sentence", "paragraph")
 ABBREVIATIONS = frozenset(
     "v vs no nos inc corp co cos ltd llc llp jr sr mr mrs ms mx dr prof hon rev st mt ft rep reps app ct cts ch cl cir dist div supp dept art arts sec secs "
     "par pars cf ed eds id ibid al etc viz e.g i.e seq op cit ex rel ser vol vols pp p n nn art bros mfg ry rd ave blvd gov sen gen col capt lt sgt "
-    "assn assoc natl intl mut ins hldgs chem elec eng servs svcs props indus inds labs dev sav hosp tel transp prov vell ost tams dec lor esk harl cal rec qm "
+    "assn assoc natl intl mut ins hldgs chem elec eng servs svcs props indus inds labs dev sav hosp tel transp prov cal rec "
     "jan feb mar apr jun jul aug sept sep oct nov dec mon tue wed thu fri sat sun sra srta ud uds sr núm art pág mme mlle".split()
 )
 _BLANK = re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:(?:\r\n?|\n)[^\S\r\n]*)+")
@@ -34,8 +34,8 @@ _LAST = re.compile(r"[^\s(\[\"“‘]*$")
 _CITATION = re.compile(r"\b\d{1,4} (?:[A-Z&§\"][\w.,'’&§\"]*\s+){1,5}?(?:\d[a-z]{1,2}\s+)?\d{1,5}\b")
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences, each with the white space after it. Stops of abbreviations, initials and citations end none."""
+def sentence_spans(text: str, more: Collection[str] = ()) -> list[tuple[int, int]]:
+    """Spans of sentences, each with the white space after it. Stops of abbreviations (known ones, and `more` that the texts use), initials and citations end none."""
     cites, spans, at, c = [m.span() for m in _CITATION.finditer(text)], [], 0, 0
     for m in _STOP.finditer(text):
         i = m.start()
@@ -47,7 +47,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         if text[i] == "." and not text.startswith("..", i):
             word = _LAST.search(text[max(0, i - 40) : i])[0].strip("'’*_")
             low = word.lower()
-            if low in ABBREVIATIONS or (len(word) == 1 and word.isalpha() and word.isupper()) or "." in word.strip(".") or nxt.islower():
+            if low in ABBREVIATIONS or low in more or (len(word) == 1 and word.isalpha() and word.isupper()) or "." in word.strip(".") or nxt.islower():
                 continue
         elif nxt.islower():
             continue
@@ -76,11 +76,11 @@ def _net(text: str, a: int, b: int) -> int:
     return len(text[a:b].strip())
 
 
-def atoms(text: str, room: int) -> tuple[list[tuple[int, int, int]], int]:
+def atoms(text: str, room: int, more: Collection[str] = ()) -> tuple[list[tuple[int, int, int]], int]:
     """Segments (start, end, strength of the boundary before it) that tile the text, and the coarsest kind that was enough."""
     out, kind = [], 3
     work = [(a, b, 3, 3) for a, b in reversed(_paragraph_spans(text))]
-    split = {2: sentence_spans, 1: _word_spans}
+    split = {2: lambda t: sentence_spans(t, more), 1: _word_spans}
     while work:
         a, b, level, strength = work.pop()
         if _net(text, a, b) <= room:
@@ -96,10 +96,10 @@ def atoms(text: str, room: int) -> tuple[list[tuple[int, int, int]], int]:
     return out, kind
 
 
-def cut_text(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> tuple[str, list[str]]:
+def cut_text(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP, more: Collection[str] = ()) -> tuple[str, list[str]]:
     """The kind of boundary that was enough, and the pieces, each at most `most` characters, each from the second on beginning with the last `overlap` characters before it."""
     room = most - overlap
-    segs, kind = atoms(text, room)
+    segs, kind = atoms(text, room, more)
     n = len(segs)
     start, end, strength = [s[0] for s in segs], [s[1] for s in segs], [s[2] for s in segs]
     right, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -129,21 +129,21 @@ def cut_text(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> tuple[
 _PIECES = T.StructType([T.StructField("boundary", T.StringType()), T.StructField("pieces", T.ArrayType(T.StringType()))])
 
 
-def pieces_of(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
+def pieces_of(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP, more: Collection[str] = ()) -> Column:
     @F.pandas_udf(_PIECES)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([cut_text(t, most, overlap) if t is not None else (None, None) for t in s], columns=["boundary", "pieces"])
+            yield pd.DataFrame([cut_text(t, most, overlap, more) if t is not None else (None, None) for t in s], columns=["boundary", "pieces"])
 
     return run(text)
 
 
-def split_oversized(df: DataFrame, key: str = "row_id", text_col: str = "plain_text", most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(df: DataFrame, key: str = "row_id", text_col: str = "plain_text", most: int = MAX_CHARS, overlap: int = OVERLAP, abbreviations: Collection[str] = ()) -> DataFrame:
     """(key, boundary, pieces) of each text of more than `most` characters.
 
-    Null, empty and short texts give no row; repeated rows each give one; white space alone counts as one
+    `abbreviations` (lower case, without their stop) are those of the texts beside the known ones. Null, empty and short texts give no row; repeated rows each give one; white space alone counts as one
     paragraph; other columns are ignored.
     """
     long = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text_col}`").alias("t")).filter(F.length("t") > most)
-    cut = long.withColumn("x", pieces_of(F.col("t"), most, overlap))
+    cut = long.withColumn("x", pieces_of(F.col("t"), most, overlap, frozenset(abbreviations)))
     return cut.select(key, F.col("x.boundary").alias("boundary"), F.col("x.pieces").alias("pieces"))
