@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from citeloom import constants as K
 from citeloom.functions import text as X
-from citeloom.session import table
+from citeloom.session import kept, table
 
 #: The reporters of the texts these queries are about, all invented, beside the known ones.
 REPORTERS = [
@@ -34,10 +34,23 @@ def cases(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     df = table(spark, sf, "cases_enriched").filter("case_id is not null")
     if cols:
         df = df.select(*dict.fromkeys(["row_id", "case_id", *cols]))
+    if "plain_text" in cols:  # texts are left where they are: the few earlier fetches are found by their ids
+        return df.join(_superseded(spark, sf), "row_id", "left_anti")
     w = Window.partitionBy("case_id").orderBy(F.col("row_id").desc())
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def _superseded(spark: SparkSession, sf: str) -> DataFrame:
+    """row_id of every fetch of a case but its latest."""
+
+    def make() -> DataFrame:
+        w = Window.partitionBy("case_id").orderBy(F.col("row_id").desc())
+        ids = table(spark, sf, "cases_enriched").filter("case_id is not null").select("row_id", F.row_number().over(w).alias("_r"))
+        return ids.filter("_r > 1").select("row_id")
+
+    return kept(spark, ("superseded", sf), make)
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Full nodes: cases and landmarks, (id, name, year, court_id, stub, landmark)."""
     full = cases(spark, sf, "case_name", "date_filed", "court_id").withColumn("landmark", F.lit(False))

@@ -1,4 +1,7 @@
 import itertools
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +110,26 @@ def test_bm25_floors_negative_idf(spark):
     assert [(r["q"], r["id"]) for r in top] == [(9, 1)]
 
 
+def test_bm25_by_brute_force_without_exchanging_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "TEXT_BLOCK", 30)
+    g = random.Random(5)
+    texts = {i: [f"w{int(g.random() ** 3 * 60)}" for _ in range(g.randint(0, 40))] for i in range(200)}
+    asked = {i: [f"w{g.randint(0, 70)}" for _ in range(12)] for i in range(20)} | {20: ["w0"], 21: ["none"], 22: []}
+    b = R.Bm25(spark.createDataFrame(list(texts.items()), "id bigint, tokens array<string>"))
+    top = b.top(spark.createDataFrame(list(asked.items()), "q bigint, tokens array<string>"), 4, block=7)
+    assert "Join" not in top._jdf.queryExecution().executedPlan().toString()
+    avg, want = sum(map(len, texts.values())) / 200, []
+    df = Counter(t for x in texts.values() for t in set(x))
+    raw = {t: math.log(200 - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    for q, ts in asked.items():
+        scores = [(-round(sum(idf[t] * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / avg)) for t in ts if t in x), 9), i) for i, x in texts.items() if set(ts) & set(x)]
+        want += [(q, i, -s, r) for r, (s, i) in enumerate(sorted(scores)[:4], 1)]
+    got = sorted(top.collect(), key=lambda r: (r["q"], r["rank"]))
+    assert [(r["q"], r["id"], r["rank"]) for r in got] == [(q, i, r) for q, i, _, r in want]
+    assert [r["score"] for r in got] == pytest.approx([s for _, _, s, _ in want], abs=2e-9)
+
+
 def test_auc_ties_and_one_class(spark):
     d = spark.createDataFrame([(0.1, False), (0.5, True), (0.5, False), (0.9, True)], "p double, y boolean")
     assert E.auc(d, "p", "y").first()["auc"] == pytest.approx(0.875)
